@@ -129,17 +129,21 @@ def split_array(texts: pa.Array, how: Packing) -> pa.ListArray:
         before = np.concatenate(([0], seen))[start]
     inside = (seen - before[row]) % 2 == 1
 
+    def within(begin: np.ndarray, length: int) -> np.ndarray:
+        """Only where all its bytes lie in one row."""
+        return begin & (row == row[np.minimum(np.arange(n) + length - 1, n - 1)])
+
     # Separators, wherever they stand.
     mark = np.zeros(n, bool)
     for m in how.marks:
         b = m.encode()
-        mark |= _spread(_find(data, b), len(b)) if len(b) > 1 else data == b[0]
+        mark |= _spread(within(_find(data, b), len(b)), len(b)) if len(b) > 1 else data == b[0]
     edge_before = first | _shifted(blank, -1)
     edge_after = last | _shifted(blank, 1)
     lower = np.where((data >= 65) & (data <= 90), data + 32, data)
     for w in (*how.words, *how.spaced):
         b = w.lower().encode()
-        begin = _find(lower, b) & (row == row[np.minimum(np.arange(n) + len(b) - 1, n - 1)])
+        begin = within(_find(lower, b), len(b))
         quoted_next = _shifted(quote, len(b))
         quoted_before = _shifted(quote, -1)
         word = w in how.words
