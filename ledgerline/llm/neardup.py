@@ -52,11 +52,12 @@ def near_duplicate_groups(df: DataFrame, key: str, text: str, *, words: int = 5,
     """
     base = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     table = written(signed(base, ["id", "text"], "text", words=words, bins=bins, band_rows=band_rows).where("node IS NOT NULL"), "signatures")
-    edges = verified_edges(star_edges(table), table.select("node", "text"), words=words, least=least)
+    edges = written(verified_edges(star_edges(table), table.select("node", "text"), words=words, least=least).select("a", "b"), "links")
     linked = components(edges, "a", "b")
     member = table.select("id", "node").distinct().join(linked, "node", "left").select("id", F.coalesce("component", "node").alias("group"))
-    counted = member.groupBy("group").agg(F.count_distinct("id").alias("n")).where("n > 1").select("group")
-    return member.distinct().join(counted, "group").select(F.col("id").alias(key), "group")
+    member = written(member.distinct(), "members")
+    shared = member.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    return written(member.join(shared, "group").select(F.col("id").alias(key), "group"), "groups")
 
 
 def pairs_within(groups: DataFrame, key: str) -> DataFrame:
