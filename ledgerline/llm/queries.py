@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import neardup
+from ledgerline.llm import history, neardup
 from ledgerline.sources.tables import table
 
 #: Similarity of two contents, for problems 1 and 2: runs of three words, at least a half in common.
 WORDS, LEAST = 3, 0.5
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    out = history.check_deliveries(table(spark, folder, "article"), table(spark, folder, "article_batch"), words=WORDS, least=LEAST)
+    return out.select(F.col("id").alias("id_a"), F.col("of").alias("id_b")).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+
+
 def _p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, folder, "article"), "id", "content", words=WORDS, least=LEAST)
 
@@ -27,5 +32,5 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return g.join(head, "group").select("id", "group_id", "members")
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups}
 SQL: dict[str, str] = {}
