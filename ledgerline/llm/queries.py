@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import history, neardup
-from ledgerline.sources.tables import table
+from ledgerline.llm import history, names, neardup
+from ledgerline.sources.tables import once, table
 
 #: Similarity of two contents, for problems 1 and 2: runs of three words, at least a half in common.
 WORDS, LEAST = 3, 0.5
@@ -32,5 +32,15 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return g.join(head, "group").select("id", "group_id", "members")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups}
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    doctor = once(table(spark, folder, "doctor"), "id", "name", "nationality", "education", "facility")
+    university = F.regexp_extract("education", r"(University of [^·|]*[^·|\s])", 1)
+    year = F.regexp_extract("education", r"University of [^|]*Graduated (\d{4})", 1)
+    block = [F.nullif(F.trim("nationality"), F.lit("")), F.nullif(university, F.lit("")), F.nullif(year, F.lit(""))]
+    persons = names.person_pairs(doctor, "id", "name", block)
+    links = names.facility_links(doctor, table(spark, folder, "facility"))
+    return persons.select(F.lit("person").alias("kind"), "key_a", "key_b").union(links.select(F.lit("facility").alias("kind"), "key_a", "key_b"))
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p2_found": p2_found, "p2_groups": p2_groups}
 SQL: dict[str, str] = {}
