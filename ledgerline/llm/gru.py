@@ -107,7 +107,7 @@ def log_probabilities(w: Weights, data: np.ndarray, stride: int) -> np.ndarray:
 def loss_and_gradients(w: Weights, data: np.ndarray, label: np.ndarray, weight: np.ndarray, stride: int) -> tuple[float, Weights]:
     """Mean cross-entropy over the weighted steps, and its gradients by backpropagation through time.
 
-    data (batch, bytes), label (batch,), weight (steps, batch).
+    data (batch, bytes), label and weight (steps, batch).
     """
     patches = _patches(data, stride)
     steps, batch, _ = patches.shape
@@ -118,9 +118,9 @@ def loss_and_gradients(w: Weights, data: np.ndarray, label: np.ndarray, weight:
     p = np.exp(_logits(w, states))
     p /= p.sum(1, keepdims=True)
     wt = (weight / max(float(weight.sum()), 1.0)).astype(np.float32)
-    at = np.arange(batch)
-    loss = float(-(np.log(p[:, label, at] + 1e-9) * wt).sum())
-    p[:, label, at] -= 1
+    at = np.arange(steps)[:, None], label, np.arange(batch)
+    loss = float(-(np.log(p[at] + 1e-9) * wt).sum())
+    p[at] -= 1
     p *= wt[:, None, :]
     f, b = states[:, 0], states[::-1, 1]
     g: Weights = {"V": np.concatenate((np.einsum("thb,tcb->hc", f, p, optimize=True), np.einsum("thb,tcb->hc", b, p, optimize=True))), "c": p.sum((0, 2))[:, None]}

@@ -35,12 +35,12 @@ class Settings:
     features: int = 32
     stride: int = 4
     train_rows: int = 150
-    train_steps: int = 500
+    train_steps: int = 900
     train_batch: int = 112
     train_bytes: int = 160
     window: int = 96
     margin: int = 4
-    switch: float = 12.0
+    switch: float = 25.0
     seed: int = 7
 
 
@@ -223,16 +223,31 @@ def train(sample: list[tuple[str, str]], s: Settings) -> Model:
     length = -(-s.train_bytes // s.stride) * s.stride
     good = np.diff(offsets) > 0
 
+    steps = length // s.stride
+    stops = np.flatnonzero(_marks(data, row)[1]) + 1 if len(data) else np.zeros(0, np.int64)
+    stop_at = np.searchsorted(stops, offsets, side="right")  # stops[stop_at[i] : stop_at[i + 1]] end the sentences of text i
+
+    def pick(size: int) -> np.ndarray:
+        lists = [x for x in (np.flatnonzero(good & (label == k)) for k in range(len(s.languages))) if len(x)]
+        return np.array([rnd.choice(lists[i]) for i in rnd.integers(0, len(lists), size)])
+
+    def sentence_end(text: np.ndarray) -> np.ndarray:
+        count = stop_at[text + 1] - stop_at[text]
+        return stops[stop_at[text] + (rnd.random(len(text)) * count).astype(np.int64)]
+
     def draw(_: int):
-        lists = [np.flatnonzero(good & (label == k)) for k in range(len(s.languages))]
-        lists = [x for x in lists if len(x)]
-        pick = np.array([rnd.choice(lists[i % len(lists)]) for i in range(s.train_batch)])
-        size = offsets[pick + 1] - offsets[pick]
-        at = offsets[pick] + (rnd.random(len(pick)) * np.maximum(size - length // 2, 1)).astype(np.int64)
-        place = at[:, None] - 1 + np.arange(length + 2)
-        place[(place >= offsets[pick + 1][:, None]) | (place < offsets[pick][:, None])] = len(seen) - 1
-        weight = letter[place[:, 1:-1]].reshape(len(pick), -1, s.stride).mean(2).T
-        return seen[place], label[pick], weight
+        # Each window has two texts: one runs up to the end of a sentence, another begins there with a sentence of its own.
+        a, b = pick(s.train_batch), pick(s.train_batch)
+        split = rnd.integers(-steps // 2, steps + steps // 2, s.train_batch).clip(0, steps)
+        end = sentence_end(a)
+        begin = np.where(rnd.random(s.train_batch) < 0.3, offsets[b], sentence_end(b))
+        begin = np.where(begin >= offsets[b + 1], offsets[b], begin)
+        left = np.arange(-1, length + 1) < (split * s.stride)[:, None]
+        owner = np.where(left, a[:, None], b[:, None])
+        place = np.arange(-1, length + 1) - (split * s.stride)[:, None] + np.where(left, end[:, None], begin[:, None])
+        place[(place >= offsets[owner + 1]) | (place < offsets[owner])] = len(seen) - 1
+        weight = letter[place[:, 1:-1]].reshape(s.train_batch, -1, s.stride).mean(2).T
+        return seen[place], label[owner[:, 1:-1][:, :: s.stride]].T, weight
 
     gru.fit(model.weights, draw, steps=s.train_steps // 2, stride=s.stride)
     texts = pa.array([t for t, _ in sample])

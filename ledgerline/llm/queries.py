@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import history, names, neardup
+from ledgerline.llm import history, langid, names, neardup
 from ledgerline.sources.tables import once, table
 
 #: Similarity of two contents, for problems 1 and 2: runs of three words, at least a half in common.
@@ -42,5 +42,16 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return persons.select(F.lit("person").alias("kind"), "key_a", "key_b").union(links.select(F.lit("facility").alias("kind"), "key_a", "key_b"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p2_found": p2_found, "p2_groups": p2_groups}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    out = langid.identify(table(spark, folder, "documents"), "doc_id", "text", "lang")
+    wrong = (F.col("segments") > 1) | ~F.col("given").eqNullSafe(F.col("seg_lang"))
+    return out.where(F.col("seg_no").isNotNull() & wrong).select("doc_id", "seg_no", F.col("seg_lang").alias("lang"))
+
+
+def p8_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and stretch with its language and confidence."""
+    return langid.identify(table(spark, folder, "documents"), "doc_id", "text", "lang")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p8_found": p8_found, "p8_labels": p8_labels, "p2_found": p2_found, "p2_groups": p2_groups}
 SQL: dict[str, str] = {}
