@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import history, langid, names, neardup
+from ledgerline.llm import history, langid, mixing, names, neardup, packing, tokens
+from ledgerline.sources.lineage import written
 from ledgerline.sources.tables import once, table
 
 #: Similarity of two contents, for problems 1 and 2: runs of three words, at least a half in common.
@@ -53,5 +54,30 @@ def p8_labels(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"), "doc_id", "text", "lang")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p8_found": p8_found, "p8_labels": p8_labels, "p2_found": p2_found, "p2_groups": p2_groups}
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return written(tokens.counted(table(spark, folder, "documents"), ["doc_id", "source"], "text"), "sizes")
+
+
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(_sizes(spark, folder), table(spark, folder, "pack_limit"), "doc_id", "source")
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p6_packed(spark, folder))
+
+
+def p6_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.mixture_report(written(p6_packed(spark, folder), "places"))
+
+
+def p7_drawn(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.drawn(_sizes(spark, folder), table(spark, folder, "mix_target"), "doc_id")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    sizes, targets = _sizes(spark, folder), table(spark, folder, "mix_target")
+    return mixing.share_report(written(mixing.drawn(sizes, targets, "doc_id"), "draws"), sizes, targets)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p4_found, p6_packed, p6_fill, p6_mixture, p7_drawn, p7_shares, p8_found, p8_labels)}
 SQL: dict[str, str] = {}
