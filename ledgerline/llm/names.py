@@ -113,26 +113,34 @@ def cuts(length: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def edits_for(length: int, longest: int = 3) -> int:
-    """Edits allowed in a string of this length."""
-    return min(longest, 0 if length < 4 else 1 if length < 7 else 2 if length < 14 else 3)
+#: From which lengths on one, two, three edits are allowed: within small blocks, and for strings that meet all others.
+WIDE, NARROW = (4, 7, 14), (4, 9, 14)
 
 
-def indexed(s: str, longest: int) -> list[tuple[str, int]]:
-    """The segments by which s is found: (segment, tag); the tag says length and segment number."""
-    k = edits_for(len(s), longest)
-    return [(s[p : p + g], len(s) * 8 + i) for i, (p, g) in enumerate(cuts(len(s), k))]
+def edits_for(length: int, steps: tuple[int, ...]) -> int:
+    """Edits allowed in a string of this length."""
+    return sum(length >= x for x in steps)
 
 
-def looked_up(s: str, longest: int) -> list[tuple[str, int]]:
-    """All (substring, tag) under which an indexed string within its edits must be found.
+def indexed(s: str, steps: tuple[int, ...]) -> list[tuple[str, int]]:
+    """The segments by which s is found: (segment, tag); the tag says length and segment number.
 
-    A swap of neighbours touches two segments at most when it lies on their border, as two changes do, so windows and segments
-    are laid for one edit more where the length allows it.
+    A swap of neighbours across a border would spoil two segments with one edit, so the two segments beside each border are indexed with
+    their border letters swapped as well.
     """
+    at = cuts(len(s), edits_for(len(s), steps))
+    out = [(s[p : p + g], len(s) * 8 + i) for i, (p, g) in enumerate(at)]
+    for i, (p, _) in enumerate(at[1:], 1):
+        v = s[: p - 1] + s[p] + s[p - 1] + s[p + 1 :]
+        out += [(v[q : q + g], len(s) * 8 + j) for j, (q, g) in ((i - 1, at[i - 1]), (i, at[i]))]
+    return list(dict.fromkeys(out))
+
+
+def looked_up(s: str, steps: tuple[int, ...]) -> list[tuple[str, int]]:
+    """All (substring, tag) under which an indexed string within its edits must be found."""
     n, out = len(s), []
-    for length in range(max(1, n - longest), n + longest + 1):
-        k = edits_for(length, longest)
+    for length in range(max(1, n - len(steps)), n + len(steps) + 1):
+        k = edits_for(length, steps)
         if abs(n - length) > k:
             continue
         for i, (p, g) in enumerate(cuts(length, k)):
@@ -141,14 +149,14 @@ def looked_up(s: str, longest: int) -> list[tuple[str, int]]:
     return list(dict.fromkeys(out))
 
 
-def _pieces(df: DataFrame, keep: list[str], text: str, longest: int, index: bool) -> DataFrame:
+def _pieces(df: DataFrame, keep: list[str], text: str, steps: tuple[int, ...], index: bool) -> DataFrame:
     source = df.select(*keep, F.col(text).alias("__s"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, seg, tag = [], [], []
             for i, s in enumerate(batch.column(len(keep)).to_pylist()):
-                for piece, t in (indexed if index else looked_up)(s, longest) if s else ():
+                for piece, t in (indexed if index else looked_up)(s, steps) if s else ():
                     rows.append(i)
                     seg.append(piece)
                     tag.append(t)
@@ -159,20 +167,20 @@ def _pieces(df: DataFrame, keep: list[str], text: str, longest: int, index: bool
     return source.mapInArrow(cut, f"{schema + ', ' if schema else ''}s string, piece string, tag int")
 
 
-def segment_join(left: DataFrame, right: DataFrame, block: list[str], *, longest: int = 3) -> DataFrame:
+def segment_join(left: DataFrame, right: DataFrame, block: list[str], *, steps: tuple[int, ...] = WIDE) -> DataFrame:
     """Distinct (block..., l, r, distance) of strings within the edits allowed for the right one's length.
 
     left, right: the block columns and `s`, of which distinct rows are taken. Blocks compare by equality, and a NULL block or string
     meets nothing. The join is one equi-join on block, segment, length and segment number; the pairs are distinct before they are verified.
     """
-    a = _pieces(left.select(*block, "s").distinct(), block, "s", longest, False)
-    b = _pieces(right.select(*block, "s").distinct(), block, "s", longest, True).withColumnRenamed("s", "r")
+    a = _pieces(left.select(*block, "s").distinct(), block, "s", steps, False)
+    b = _pieces(right.select(*block, "s").distinct(), block, "s", steps, True).withColumnRenamed("s", "r")
     met = a.join(b, [*block, "piece", "tag"]).select(*block, F.col("s").alias("l"), "r").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ls, rs = batch.column(len(block)).to_pylist(), batch.column(len(block) + 1).to_pylist()
-            k = [edits_for(len(r), longest) for r in rs]
+            k = [edits_for(len(r), steps) for r in rs]
             d = [edit_distance(x, y, z) for x, y, z in zip(ls, rs, k)]
             out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(d, pa.int32())], names=[*batch.schema.names, "distance"])
             yield out.filter(pa.array([x <= z for x, z in zip(d, k)], pa.bool_()))
@@ -267,7 +275,7 @@ def person_pairs(doctors: DataFrame, key: str, name: str, block: list[Column]) -
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array([s for m in many for s in m], pa.string())], names=["id", "block", "s"])
 
     words = written(base.select("id", "name", "block").mapInArrow(strings, "id string, block string, s string"), "words")
-    alike = written(segment_join(words, words, ["block"], longest=2), "alike")
+    alike = written(segment_join(words, words, ["block"], steps=WIDE[:2]), "alike")
     a = words.select("block", F.col("s").alias("l"), F.col("id").alias("key_a"))
     b = words.select("block", F.col("s").alias("r"), F.col("id").alias("key_b"))
     met = alike.join(a, ["block", "l"]).join(b, ["block", "r"]).select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).where("key_a < key_b").distinct()
@@ -309,8 +317,20 @@ def facility_parts(text: str) -> tuple[list[str], list[str]]:
     t = re.sub(r"\bpoly[\W_]*clinic", "polyclinic", t)
     t = re.sub(r"\bhome[\W_]*health[\W_]*care\b", "home healthcare", t)
     raw = re.findall(r"[^\W_]+", t)
+    joined: list[str] = []
+    at = 0
+    while at < len(raw):  # letters typed with blanks between them are one word
+        end = at
+        while end < len(raw) and len(raw[end]) == 1:
+            end += 1
+        joined += ["".join(raw[at:end])] if end - at >= 3 else raw[at : max(end, at + 1)]
+        at = max(end, at + 1)
+    raw = joined
     words, kinds = [], []
-    for w in raw:
+    for at, w in enumerate(raw):
+        if at == len(raw) - 1 and kinds and any(k.startswith(w) for k in KIND_FORMS):  # a name cut off within a word of its kind
+            kinds += [_FORM[w]] if w in _FORM else []
+            continue
         if w in EMPTY_WORDS or w.isdigit():
             continue
         kind = _kind_of(w)
@@ -374,7 +394,7 @@ def facility_links(doctors: DataFrame, facilities: DataFrame) -> DataFrame:
     texts = doc.select("text").distinct().join(listed.select(F.col("listed").alias("text")), "text", "left_anti")
     t = written(_parsed(texts, ["text"], "text", False), "texts")
     f = written(_parsed(listed, ["fid"], "listed", True), "facilities")
-    alike = written(segment_join(t, f, [], longest=3), "alike")
+    alike = written(segment_join(t, f, [], steps=NARROW), "alike")
     met = alike.join(t.withColumnRenamed("s", "l").withColumnRenamed("kinds", "kt"), "l").join(f.withColumnRenamed("s", "r").withColumnRenamed("kinds", "kf"), "r")
     want, have = F.split("kf", " "), F.filter(F.split("kt", " "), lambda x: x != "")
     met = met.where(F.size(F.array_except(have, want)) == 0).select("text", "fid", F.struct(F.col("distance"), (F.size(want) - F.size(have)).alias("lost")).alias("rank"))
