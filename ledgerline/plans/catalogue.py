@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import dealt
+from ledgerline.plans import dealt, register_queries
 
-MODULES = [dealt]
+MODULES = [dealt, register_queries]
 FLAGSHIP = dealt.p3_summary
 
 
