@@ -74,10 +74,26 @@ def edit_distance(a: str, b: str, k: int) -> int:
     """Insertions, deletions, changes and swaps of neighbours that lead from a to b, or k + 1 if they are more than k; only the band of k about the diagonal is filled."""
     if a == b:
         return 0
-    n, m = len(a), len(b)
-    if abs(n - m) > k:
+    if abs(len(a) - len(b)) > k:
         return k + 1
     far = k + 1
+    if k == 0:
+        return far
+    # What both begin and end with needs no edit.
+    i, short = 0, min(len(a), len(b))
+    while i < short and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < short - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    n, m = len(a), len(b)
+    if n <= 1 and m <= 1 or n == m == 2 and a == b[::-1]:
+        return 1
+    if k == 1:
+        return far
+    if not n or not m:
+        return max(n, m)
     before: list[int] = []
     row = [j if j <= k else far for j in range(m + 1)]
     for i in range(1, n + 1):
