@@ -142,7 +142,7 @@ def experience(c: Column) -> Column:
     """Array of work entries. Parts are known by their form (licence number, range of dates); of the others the first is the title, and
     with three or more the second is the facility and the last the place; a second of two is the facility if there is a licence, else the place."""
     def entry(e: Column) -> Column:
-        parts = F.filter(F.transform(F.split(e, " · "), F.trim), lambda p: p != "")
+        parts = F.filter(F.transform(F.split(e, " · "), lambda x: F.trim(x)), lambda p: p != "")
         lic, dates = F.filter(parts, lambda p: p.rlike(_LICENCE)), F.filter(parts, lambda p: p.rlike(_DATES))
         rest = F.filter(parts, lambda p: ~p.rlike(_LICENCE) & ~p.rlike(_DATES))
         n, date = F.size(rest), F.get(dates, F.lit(0))
@@ -155,14 +155,14 @@ def experience(c: Column) -> Column:
             F.regexp_extract(F.get(lic, F.lit(0)), _LICENCE, 1).alias("licence_number"),
             part(1).alias("start"), part(2).alias("end"), part(3).alias("duration"),
         )
-    entries = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    entries = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(entries, entry)
 
 
 def education(c: Column) -> Column:
     """Array of education entries: qualification, institution, graduated (year), country, city, verification."""
     def entry(e: Column) -> Column:
-        parts = F.filter(F.transform(F.split(e, " · "), F.trim), lambda p: p != "")
+        parts = F.filter(F.transform(F.split(e, " · "), lambda x: F.trim(x)), lambda p: p != "")
         year = r"(?i)^Graduated\s+(\d{4})$"
         graduated = F.filter(parts, lambda p: p.rlike(year))
         rest = F.filter(parts, lambda p: ~p.rlike(year))
@@ -178,7 +178,7 @@ def education(c: Column) -> Column:
             F.when(F.contains(bare, F.lit(",")), F.trim(F.regexp_extract(bare, r",\s*(.*)$", 1))).alias("city"),
             F.nullif(F.regexp_extract(place, r"\(([^)]*)\)\s*$", 1), F.lit("")).alias("verification"),
         )
-    entries = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    entries = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(entries, entry)
 
 

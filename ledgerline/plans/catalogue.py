@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import dealt, register_queries
+from ledgerline.plans import dealt, directory_queries, register_queries
 
-MODULES = [dealt, register_queries]
-FLAGSHIP = dealt.p3_summary
+MODULES = [dealt, register_queries, directory_queries]
+FLAGSHIP = directory_queries.facets_self_excluding
 
 
 def queries() -> dict:

@@ -15,7 +15,7 @@ def _links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def links(spark: SparkSession, folder: str) -> DataFrame:
-    return _links(spark, folder).select("doctor_id", "facility_id", "is_current", "is_past", "is_primary", "is_licensed", F.array_join("roles", "|").alias("roles"))
+    return _links(spark, folder).select("doctor_id", "facility_id", "is_current", "is_past", "is_primary", "is_licensed", F.array_join("roles", "||").alias("roles"))
 
 
 def facility_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,7 +130,7 @@ g AS (SELECT doctorId AS doctor_id, facilityId AS facility_id,
  FROM doctor_facility WHERE facilityId IS NOT NULL GROUP BY 1, 2),
 l AS (SELECT g.doctor_id, g.facility_id, is_current, NOT is_current AS is_past, is_primary,
  licence AND (is_primary OR present OR EXISTS (SELECT 1 FROM pr WHERE pr.id = g.doctor_id AND pr.facility_key = {_KEY.format("f.nameTrimmed")})) AS is_licensed,
- CASE WHEN len(titles) = 1 AND titles[1] = coalesce(sp.specialty, '') THEN '' ELSE coalesce(array_to_string(titles, '|'), '') END AS roles
+ CASE WHEN len(titles) = 1 AND titles[1] = coalesce(sp.specialty, '') THEN '' ELSE coalesce(array_to_string(titles, '||'), '') END AS roles
  FROM g JOIN dd ON dd.id = g.doctor_id JOIN (SELECT DISTINCT id, nameTrimmed FROM facility) f ON f.id = g.facility_id JOIN sp ON sp.id = g.doctor_id)
 """
 _COUNTS = "SELECT facility_id, count(*) AS all_count, count(*) FILTER (WHERE is_current) AS doctor_count, count(*) FILTER (WHERE is_primary) AS primary_count, count(*) FILTER (WHERE is_licensed) AS licensed_count FROM l GROUP BY 1"
