@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import shard, squeezed
+from ledgerline.operators import classify, quality
 from ledgerline.operators import register as R
+from ledgerline.sources.lineage import written
 from ledgerline.sources.tables import once, table
 
 
@@ -113,6 +115,24 @@ def past_only(spark: SparkSession, folder: str) -> DataFrame:
     return _links(spark, folder).where("is_past").groupBy("doctor_id").agg(F.count(F.lit(1)).alias("past_facilities"), F.min("facility_id").alias("first_id"))
 
 
+def facility_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """[A10, A11, C1]"""
+    people = R.active(table(spark, folder, "doctor")).select(F.col("id").alias("doctor_id"), R.specialty(squeezed("speciality")).alias("specialty")).distinct()
+    f = once(table(spark, folder, "facility"), "id", "nameTrimmed", "typeGuess").select(F.col("id").alias("facility_id"), F.col("nameTrimmed").alias("name"), F.col("typeGuess").alias("guess"))
+    return classify.facility_types(f, classify.staff_tally(_links(spark, folder), people))
+
+
+def quality_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """[V1-V42] The register as built from these tables, checked against them."""
+    source = {t: table(spark, folder, t) for t in ("doctor", "facility", "doctor_facility", "doctor_licence_type")}
+    link = written(_links(spark, folder), "links")
+    doctor = R.active(source["doctor"]).distinct()
+    profiles = doctor.select("id", F.size(R.experience(F.col("experience"))).alias("work"), F.size(R.education(F.col("education"))).alias("education"))
+    facilities = source["facility"].select(F.col("id").alias("facility_id"), F.col("typeGuess").alias("type")).distinct()
+    licences = R.licence_names(source["doctor"], source["doctor_licence_type"])
+    return quality.checks(doctor.select("id"), facilities, link, R.facility_counts(link), licences, static_facets(spark, folder), profiles, source | {"doctor_facility": source["doctor_facility"].distinct()})
+
+
 _SQUEEZE = "trim(regexp_replace(speciality, '\\s+', ' ', 'g'))"
 _SPLIT = f"""SELECT DISTINCT id, {_SQUEEZE} AS s,
  CASE WHEN strpos({_SQUEEZE}, '-') > 1 THEN trim(split_part({_SQUEEZE}, '-', 1)) ELSE {_SQUEEZE} END AS category,
@@ -142,7 +162,7 @@ _ENTRIES = "list_filter(list_transform(string_split(coalesce({}, ''), '|'), lamb
 
 QUERIES = {
     f"register_{f.__name__}": f
-    for f in (links, facility_counts, top_specialties, licence_names, category_split, static_facets, slug_ordinals, lifecycle, unique_facility_names, profile_totals, education_years, opening_hours, type_rollup, totals, shards, printed_keys, past_only)
+    for f in (links, facility_counts, top_specialties, licence_names, category_split, static_facets, slug_ordinals, lifecycle, unique_facility_names, profile_totals, education_years, opening_hours, type_rollup, totals, shards, printed_keys, past_only, facility_kinds, quality_checks)
 }
 SQL = {
     "register_links": _LINKS + "SELECT * FROM l",
