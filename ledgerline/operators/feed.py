@@ -151,8 +151,9 @@ def entity_links(articles: DataFrame, phrases: DataFrame, *, longest: int = 6, m
     sole = p.groupBy("entity_type", "phrase").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"), F.min("label").alias("label")).where("n = 1")
     words = articles.select(F.col("id").alias("article_id"), F.split(F.trim(T.entity_norm(F.col("text"))), " ").alias("w"))
     first = sole.select(F.substring_index("phrase", " ", 1).alias("head"), F.size(F.split("phrase", " ")).alias("n")).distinct()
-    start = words.select("article_id", "w", F.posexplode("w").alias("i", "head")).join(first, "head")
-    runs = start.select("article_id", F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ").alias("phrase")).distinct()
+    # Single words meet the phrases' first words alone; only the few places found go back to their texts.
+    start = words.select("article_id", F.posexplode("w").alias("i", "head")).join(first, "head").select("article_id", "i", "n").distinct()
+    runs = start.join(words, "article_id").select("article_id", F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ").alias("phrase")).distinct()
     found = runs.join(sole, "phrase").select("article_id", "entity_type", "entity_id", "label", F.least(F.lit(1.0), F.lit(0.55) + F.least(F.length("phrase"), F.lit(60)) / 120).alias("confidence")).dropDuplicates(["article_id", "entity_type", "entity_id"])
     rank = F.row_number().over(Window.partitionBy("article_id", "entity_type").orderBy("label", "entity_id"))
     return found.withColumn("n", rank).where(F.col("n") <= most).drop("n")
