@@ -408,10 +408,13 @@ def facility_links(doctors: DataFrame, facilities: DataFrame) -> DataFrame:
     listed = facilities.select(F.col("id").alias("fid"), F.col("nameTrimmed").alias("listed")).where("fid IS NOT NULL AND listed IS NOT NULL").distinct()
     doc = doctors.select("id", F.col("facility").alias("text")).where("id IS NOT NULL AND trim(text) <> ''").distinct()
     texts = doc.select("text").distinct().join(listed.select(F.col("listed").alias("text")), "text", "left_anti")
-    t = written(_parsed(texts, ["text"], "text", False), "texts")
+    # Whatever words of the kind a text has must be the facility's, so a text meets only facilities that have a certain one of them.
+    own = F.split("kinds", " ")
+    telling = F.filter(own, lambda x: ~x.isin("centre", "clinic", "day", "home"))
+    t = written(_parsed(texts, ["text"], "text", False).withColumn("block", F.coalesce(F.get(telling, F.lit(0)), F.get(own, F.lit(0)), F.lit(""))), "texts")
     f = written(_parsed(listed, ["fid"], "listed", True), "facilities")
-    alike = written(segment_join(t, f, [], steps=NARROW), "alike")
-    met = alike.join(t.withColumnRenamed("s", "l").withColumnRenamed("kinds", "kt"), "l").join(f.withColumnRenamed("s", "r").withColumnRenamed("kinds", "kf"), "r")
+    alike = written(segment_join(t, f.select("s", F.explode(F.array_union(own, F.array(F.lit("")))).alias("block")), ["block"], steps=NARROW), "alike")
+    met = alike.join(t.withColumnRenamed("s", "l").withColumnRenamed("kinds", "kt"), ["block", "l"]).join(f.withColumnRenamed("s", "r").withColumnRenamed("kinds", "kf"), "r")
     want, have = F.split("kf", " "), F.filter(F.split("kt", " "), lambda x: x != "")
     met = met.where(F.size(F.array_except(have, want)) == 0).select("text", "fid", F.struct(F.col("distance"), (F.size(want) - F.size(have)).alias("lost")).alias("rank"))
     best = met.groupBy("text", "fid").agg(F.min("rank").alias("rank"))
