@@ -15,24 +15,17 @@ What is left is verified by the true similarity of the texts. New rows are appen
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.urls import canonical_url
-from ledgerline.llm.neardup import verified_edges
+from ledgerline.llm.neardup import PIVOTS, pruned, verified_edges
 from ledgerline.llm.signatures import signed
 from ledgerline.operators.joins import bounded
 from ledgerline.sources.lineage import written
 
-#: Number of set pivots.
-PIVOTS = 128
-
-
 def pivot_rows(items: DataFrame, *, words: int, bins: int = 256, band_rows: int = 4) -> DataFrame:
     """Rows of the pivot-distance table. items: id, url, source_hash, content_hash, text, batch_no, item_no."""
     keep = ["id", "url", "source_hash", "content_hash", "batch_no", "item_no"]
@@ -66,32 +59,6 @@ def as_items(df: DataFrame, batch: bool) -> DataFrame:
     )
 
 
-def pruned(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that the triangle inequality over the set pivots leaves.
-
-    A similarity of at least s means a distance of at most (|A| + |B|)(1 - s)/(1 + s). The counts of an interval differ by no
-    more than the sets do within it, and the intervals are disjoint, so the differences add up to a lower bound.
-    """
-    needed = bounded(written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pruning"))
-    vectors = table.select("node", "counts").join(needed, "node", "left_semi").dropDuplicates(["node"])
-    both = pairs.join(vectors.select(F.col("node").alias("a"), F.col("counts").alias("ca")), "a").join(vectors.select(F.col("node").alias("b"), F.col("counts").alias("cb")), "b")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            ca, cb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(n, PIVOTS).astype(np.int32) for i in (2, 3))
-            total = ca.sum(1) + cb.sum(1)
-            # A count that reached its byte's limit stands for any larger one: such an interval bounds nothing.
-            open_ = (ca < 255) & (cb < 255)
-            good = (np.abs(ca - cb) * open_).sum(1) <= total * (1 - least) / (1 + least) + 1e-9
-            good |= ~open_.all(1)
-            yield batch.select([0, 1]).filter(pa.array(good))
-
-    return both.select("a", "b", "ca", "cb").mapInArrow(keep, "a long, b long")
-
-
 def _classes(rows: DataFrame) -> DataFrame:
     """(class, member) of the four grounds that are equalities: members of a class refuse one another."""
     kinds = [("u", "url"), ("s", "source_hash"), ("c", "content_hash"), ("n", "node")]

@@ -91,3 +91,22 @@ def test_a_third_of_all_rows_are_copies(spark):
     assert groups.where("id LIKE 'c%'").select("group").distinct().count() == 1 and groups.where("id LIKE 'c%'").count() == 300
     empty = neardup.near_duplicate_groups(spark.createDataFrame([], "id string, content string"), "id", "content")
     assert empty.count() == 0
+
+
+def test_similar_pairs_inside_buckets_of_unrelated_texts(spark):
+    rnd, texts = random.Random(3), {}
+    words = iter(range(10**6))
+    take = lambda n: [f"w{next(words)}" for _ in range(n)]
+    boilerplate = take(42)
+    for i in range(150):
+        own = take(8)
+        for side in "ab":
+            w = [*boilerplate, *own, *take(25)]
+            rnd.shuffle(w)
+            texts[f"{i:03d}{side}"] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "id string, content string")
+    keys = {r["id"]: set(r["keys"]) for r in neardup.signed(df, ["id"], "content", words=1, bins=256, band_rows=4).collect()}
+    # Only the two texts of a number are similar (0.50, others 0.39); all pairs that share a bucket are to be found.
+    want = {(f"{i:03d}a", f"{i:03d}b") for i in range(150) if keys[f"{i:03d}a"] & keys[f"{i:03d}b"]}
+    got = neardup.pairs_within(neardup.near_duplicate_groups(df, "id", "content", words=1, least=0.5), "id")
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 140
