@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _quoted(name: str) -> str:
@@ -40,6 +41,15 @@ def findings_expr(fields: list[str], missing_left: str, missing_right: str) -> C
     return F.expr(f"CASE WHEN b IS NULL THEN array({_text(missing_right)}) WHEN a IS NULL THEN array({_text(missing_left)}) ELSE {differ} END")
 
 
+def _shown(value: Column, kind: T.DataType) -> Column:
+    """The value as text; a timestamp in UTC whatever the session's time zone, as 2024-01-31 10:20:30.5+00."""
+    if not isinstance(kind, T.TimestampType):
+        return value.cast("string")
+    micros = F.unix_micros(value)
+    seconds = F.make_dt_interval(secs=(micros.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)"))
+    return F.concat((F.lit("1970-01-01").cast("timestamp_ntz") + seconds).cast("string"), F.lit("+00"))
+
+
 def differences(
     left: DataFrame,
     right: DataFrame,
@@ -53,7 +63,7 @@ def differences(
     """Key columns and `finding`: a side that lacks the key, or the name of a field whose values differ.
 
     NULL equals NULL and differs from empty text; everything else compares exactly as stored. With
-    values=True the two values come along as text (left_value, right_value; both NULL for a missing row). Empty
+    values=True the two values come along as text (left_value, right_value; both NULL for a missing row; timestamps in UTC). Empty
     tables are allowed on either side: every key of the other is then missing. See paired() for repeated rows.
     """
     rows = paired(left, right, keys, fields)
@@ -61,7 +71,8 @@ def differences(
     out = [F.col(f"k{i}").alias(k) for i, k in enumerate(keys)] + [F.col("finding")]
     if values:
         for side, name in (("a", "left_value"), ("b", "right_value")):
-            pick = F.coalesce(*[F.when(F.col("finding") == f, F.col(f"{side}.f{i}").cast("string")) for i, f in enumerate(fields)]) if fields else F.lit(None).cast("string")
+            kinds = [f.dataType for f in rows.schema[side].dataType.fields]
+            pick = F.coalesce(*[F.when(F.col("finding") == f, _shown(F.col(f"{side}.f{i}"), kinds[i])) for i, f in enumerate(fields)]) if fields else F.lit(None).cast("string")
             out.append(pick.alias(name))
     return found.select(*out)
 

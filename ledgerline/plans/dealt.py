@@ -28,7 +28,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_values(spark: SparkSession, folder: str) -> DataFrame:
     """As p3_found, with the two values as text."""
     register, mirror = _sides(spark, folder)
-    found = compare.differences(register, mirror, PLACEMENT_KEYS, PLACEMENT_FIELDS[:-1], missing_left="missing_in_register", missing_right="missing_in_mirror", values=True)
+    found = compare.differences(register, mirror, PLACEMENT_KEYS, PLACEMENT_FIELDS, missing_left="missing_in_register", missing_right="missing_in_mirror", values=True)
     return found.select(F.col("dhaUniqueId").alias("dha_unique_id"), F.col("facilityId").alias("facility_id"), F.col("sourceSection").alias("source_section"), "finding", "left_value", "right_value")
 
 

@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 from ledgerline.operators import compare
+from ledgerline.plans import dealt
 
 
 def rows(df):
@@ -37,3 +40,20 @@ def test_field_names_with_quotes(spark):
     left = spark.createDataFrame([("1", "x")], "`k k` string, `it's` string")
     right = spark.createDataFrame([("1", "y")], "`k k` string, `it's` string")
     assert rows(compare.differences(left, right, ["k k"], ["it's"])) == [("1", "it's")]
+
+
+def test_timestamp_values_in_utc(spark):
+    make = lambda *t: spark.createDataFrame([(i, x) for i, x in enumerate(t)], "k int, m long").select("k", F.timestamp_micros("m").alias("at"))
+    left, right = make(1_700_000_000_500_000, -1, None), make(1_700_000_000_500_001, 0, 253_402_300_799_999_999)
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Dubai")
+    try:
+        got = {r.k: (r.left_value, r.right_value) for r in compare.differences(left, right, ["k"], ["at"], values=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == {0: ("2023-11-14 22:13:20.5+00", "2023-11-14 22:13:20.500001+00"), 1: ("1969-12-31 23:59:59.999999+00", "1970-01-01 00:00:00+00"), 2: (None, "9999-12-31 23:59:59.999999+00")}
+
+
+def test_values_name_the_same_differences_as_findings(spark):
+    folder, keys = "/root/testdata/sf0.001", ["dha_unique_id", "facility_id", "source_section", "finding"]
+    shown = sorted(map(str, dealt.p3_values(spark, folder).select(*keys).collect()))
+    assert shown == sorted(map(str, dealt.p3_found(spark, folder).collect())) and any("updatedAt" in s for s in shown)
