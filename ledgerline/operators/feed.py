@@ -139,16 +139,19 @@ def duplicate_of(new: DataFrame, old: DataFrame) -> DataFrame:
     return every.groupBy("id").agg(F.min(F.struct("rank", "duplicate_of", "reason")).alias("b")).select("id", "b.duplicate_of", "b.reason")
 
 
-def entity_links(articles: DataFrame, phrases: DataFrame, *, longest: int = 6, most: int = 8) -> DataFrame:
-    """[J10, W5, F21] (article_id, entity_type, entity_id, label, confidence) where an article's text holds a phrase as whole words.
+def entity_links(articles: DataFrame, phrases: DataFrame, *, letters: dict[str, int] | None = None, shared: tuple[str, ...] = (), most: int = 8) -> DataFrame:
+    """[J10, and of W5 and F21 the part of whole phrases] (article_id, entity_type, entity_id, label, confidence) where an article's text holds a phrase as whole words.
 
-    articles: id, text; phrases: entity_type, entity_id, label, of which those of at most `longest` words and eight letters are looked for; a phrase that
-    means several entities of a type is ambiguous and left out. Texts are cut into runs of words that meet the phrases in an equi-join, never pair by pair. Of each type the
+    articles: id, text; phrases: entity_type, entity_id, label, of which those of at least eight letters (or letters[entity_type]) are looked for, with any number of
+    words; a phrase that means several entities of a type is ambiguous and left out, but for the types in `shared`, where it links them all. Texts are cut into runs of words that meet the phrases in an equi-join, never pair by pair. Of each type the
     `most` first labels of an article stay, as the feature wants it.
     """
-    p = phrases.select("entity_type", "entity_id", "label", F.trim(T.entity_norm(F.col("label"))).alias("phrase")).where(F.length("phrase") >= 8)
-    p = p.where(F.size(F.split("phrase", " ")) <= longest).distinct()
-    sole = p.groupBy("entity_type", "phrase").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"), F.min("label").alias("label")).where("n = 1")
+    p = phrases.select("entity_type", "entity_id", "label", F.trim(T.entity_norm(F.col("label"))).alias("phrase"))
+    enough = F.coalesce(*[F.when(F.col("entity_type") == t, n) for t, n in (letters or {}).items()], F.lit(8))
+    p = p.where((F.length("phrase") >= enough) & (F.col("phrase") != "")).distinct()
+    several = F.col("entity_type").isin(*shared) if shared else F.lit(False)
+    alone = p.where(~several).groupBy("entity_type", "phrase").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"), F.min("label").alias("label")).where("n = 1")
+    sole = alone.select("entity_type", "entity_id", "label", "phrase").union(p.where(several))
     words = articles.select(F.col("id").alias("article_id"), F.split(F.trim(T.entity_norm(F.col("text"))), " ").alias("w"))
     first = sole.select(F.substring_index("phrase", " ", 1).alias("head"), F.size(F.split("phrase", " ")).alias("n")).distinct()
     # Single words meet the phrases' first words alone; only the few places found go back to their texts.

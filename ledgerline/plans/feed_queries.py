@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
+from ledgerline.functions.text import squeezed
 from ledgerline.functions.urls import canonical_url
 from ledgerline.operators import feed
+from ledgerline.operators import register as R
 from ledgerline.sources.tables import once, table
 
 #: The moment that stands for now.
@@ -48,10 +50,15 @@ def duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, folder: str) -> DataFrame:
+    """[J10, A18] Facilities, specialties of the register and its people of a name that no other has."""
     a = once(table(spark, folder, "article"), "id", "title", "excerpt", "content")
     f = once(table(spark, folder, "facility"), "id", "nameTrimmed")
     phrases = f.select(F.lit("facility").alias("entity_type"), F.col("id").alias("entity_id"), F.regexp_replace("nameTrimmed", r"(?i)\s+(L\.?L\.?C|L L C|FZ-LLC|Co)\.?(?= |$)", "").alias("label"))
-    return feed.entity_links(a.select("id", F.concat_ws(" ", "title", "excerpt", F.regexp_replace("content", "<[^>]*>", " ")).alias("text")), phrases).withColumn("confidence", F.round("confidence", 6))
+    d = R.active(table(spark, folder, "doctor"))
+    specialties = d.select(R.specialty(squeezed("speciality")).alias("label")).where("length(label) >= 5").distinct().select(F.lit("specialty").alias("entity_type"), F.col("label").alias("entity_id"), "label")
+    people = d.select(F.lit("doctor").alias("entity_type"), F.col("id").alias("entity_id"), F.trim("name").alias("label")).where((F.length("label") >= 8) & F.col("label").rlike(r"\s")).distinct()
+    texts = a.select("id", F.concat_ws(" ", "title", "excerpt", F.regexp_replace("content", "<[^>]*>", " ")).alias("text"))
+    return feed.entity_links(texts, phrases.union(specialties).union(people), letters={"specialty": 1, "doctor": 1}, shared=("specialty",)).withColumn("confidence", F.round("confidence", 6))
 
 
 def due(spark: SparkSession, folder: str) -> DataFrame:

@@ -102,3 +102,11 @@ def test_entities_archive_and_due(spark):
     assert [(r.article_id, r.entity_id) for r in feed.entity_links(arts, phr).collect()] == [("1", "x")]
     src = spark.createDataFrame([("new", 60, 0, True, False, "u", None), ("soon", 60, 0, True, False, "u", T0 - dt.timedelta(minutes=59)), ("late", 60, 0, True, False, "u", T0 - dt.timedelta(minutes=60)), ("fails", 60, 3, True, False, "u", T0 - dt.timedelta(hours=7)), ("day", 6000, 9, True, None, "u", T0 - dt.timedelta(hours=24)), ("off", 60, 0, False, False, "u", None), ("none", 60, 0, True, False, None, None)], "id string, scheduleMinutes int, consecutiveFailures int, enabled boolean, requiresConfig boolean, feedUrl string, lastCheckedAt timestamp")
     assert {r.id for r in feed.due_sources(src, F.lit(T0)).collect()} == {"new", "late", "day"}
+
+
+def test_entities_of_any_number_of_words_and_shared_phrases(spark):
+    name = "The Very Long Named Hospital Of Nine Words"
+    arts = spark.createDataFrame([("1", f"Visit {name}. A paediatrics ward; Nurse.")], "id string, text string")
+    phr = spark.createDataFrame([("facility", "x", name), ("specialty", "Pediatrics", "Pediatrics"), ("specialty", "Paediatrics", "Paediatrics"), ("specialty", "Nurse", "Nurse")], "entity_type string, entity_id string, label string")
+    got = feed.entity_links(arts, phr, letters={"specialty": 1}, shared=("specialty",)).collect()
+    assert {(r.entity_type, r.entity_id) for r in got} == {("facility", "x"), ("specialty", "Pediatrics"), ("specialty", "Paediatrics"), ("specialty", "Nurse")}
