@@ -10,6 +10,10 @@ from ledgerline.operators.components import components
 
 KEYS = ("canonical_url", "source_hash", "content_hash", "normalized_title", "story_key")
 ITEM = "id string, source_id string, seq long, canonical_url string, source_hash string, content_hash string, normalized_title string, story_key string, at timestamp"
+#: What an item holds besides, and what a changed repeat replaces: a missing picture keeps the old one.
+PAYLOAD = "link string, title string, excerpt string, content_html string, author string, categories array<string>, image string"
+STORED = f"{ITEM}, {PAYLOAD}, story_id string"
+REPLACED = ("excerpt", "content_html", "image")
 DECISION = "id string, decision string, duplicate_of string, reason string, story_id string, new_content_hash string"
 _DAY = pd.Timedelta(days=1)
 
@@ -98,11 +102,23 @@ def decide(items: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def merged(stored: DataFrame, items: DataFrame, decisions: DataFrame) -> DataFrame:
-    """[K14, T2] The store after a batch: new items appended, content hashes replaced where a repeat changed them (the last change counts)."""
-    changed = decisions.where("new_content_hash IS NOT NULL").join(items.select("id", "seq"), "id").groupBy("duplicate_of").agg(F.max_by("new_content_hash", "seq").alias("h"))
-    fresh = items.join(decisions.where("decision = 'new'").select("id", "story_id"), "id").select(*[c.split()[0] for c in ITEM.split(", ")], "story_id")
-    every = stored.select(*fresh.columns).union(fresh)
-    return every.join(changed.withColumnRenamed("duplicate_of", "id"), "id", "left").withColumn("content_hash", F.coalesce("h", "content_hash")).select(*fresh.columns)
+    """[K14, T2] The store after a batch: new items appended with their payload; where a repeat changed the content hash, the hash, excerpt, content and,
+    if it has one, the picture are replaced (of several changes the last counts; of pictures the last there is). Title, summary key and the rest stay.
+
+    The payload columns that items or stored have are carried; one that only one side has is NULL on the other.
+    """
+    payload = [c.split()[0] for c in PAYLOAD.split(", ") if c.split()[0] in {*items.columns, *stored.columns}]
+    names = [c.split()[0] for c in ITEM.split(", ")]
+    here = [c for c in REPLACED if c in items.columns]
+    change = decisions.where("new_content_hash IS NOT NULL").join(items.select("id", "seq", *here), "id")
+    last = [F.max_by(F.struct(F.col("new_content_hash").alias("h"), *[c for c in here if c != "image"]), F.struct("seq", "id")).alias("new")]
+    last += [F.max_by("image", F.when(F.col("image").isNotNull(), F.struct("seq", "id"))).alias("new_image")] if "image" in here else []
+    changed = change.groupBy(F.col("duplicate_of").alias("id")).agg(*last)
+    fresh = items.join(decisions.where("decision = 'new'").select("id", "story_id"), "id").select(*names, *[c for c in payload if c in items.columns], "story_id")
+    every = stored.select(*names, *[c for c in payload if c in stored.columns], "story_id").unionByName(fresh, allowMissingColumns=True).join(changed, "id", "left")
+    value = {"content_hash": F.coalesce("new.h", "content_hash")} | {c: F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)) for c in here if c != "image"}
+    value |= {"image": F.coalesce("new_image", "image")} if "image" in here else {}
+    return every.select(*[value.get(c, F.col(c)).alias(c) for c in (*names, *payload, "story_id")])
 
 
 def run_summary(decisions: DataFrame, items: DataFrame) -> DataFrame:

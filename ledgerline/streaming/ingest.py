@@ -22,7 +22,8 @@ def items_of(documents: DataFrame) -> DataFrame:
     # One number holds the order of arrival: time first, then the place within the source's run.
     seq = F.unix_timestamp("fetched_at") * 1_000_000 + F.row_number().over(order)
     return hashed.withColumn("seq", seq).select(
-        F.sha2(F.concat_ws("\u0001", "source_id", F.coalesce("guid", "link"), F.col("seq").cast("string")), 256).alias("id"), "source_id", "seq", "canonical_url", "source_hash", "content_hash", "normalized_title", "story_key", F.coalesce("published_at", "fetched_at").alias("at"), "title", "excerpt",
+        F.sha2(F.concat_ws("\u0001", "source_id", F.coalesce("guid", "link"), F.col("seq").cast("string")), 256).alias("id"), "source_id", "seq", "canonical_url", "source_hash", "content_hash", "normalized_title", "story_key", F.coalesce("published_at", "fetched_at").alias("at"),
+        "link", "title", "excerpt", "content_html", "author", "categories", "image",
     )
 
 
@@ -35,7 +36,7 @@ class FeedStore:
     def read(self) -> DataFrame:
         now = _read_text(self.spark, f"{self.root}/{POINTER}")
         if now is None:
-            return self.spark.createDataFrame([], ingest.ITEM + ", story_id string")
+            return self.spark.createDataFrame([], ingest.STORED)
         return self.spark.read.parquet(f"{self.root}/{json.loads(now)['folder']}")
 
     def take_in(self, batch: DataFrame, batch_id: int) -> DataFrame:
@@ -44,7 +45,7 @@ class FeedStore:
         stored = self.read()
         if now.get("batch") == batch_id:
             folder = now.get("before")
-            stored = self.spark.read.parquet(f"{self.root}/{folder}") if folder else self.spark.createDataFrame([], ingest.ITEM + ", story_id string")
+            stored = self.spark.read.parquet(f"{self.root}/{folder}") if folder else self.spark.createDataFrame([], ingest.STORED)
         before = now.get("before") if now.get("batch") == batch_id else now.get("folder")
         path = f"{self.root}/decisions/batch={batch_id}"
         ingest.decide(batch, stored).write.mode("overwrite").parquet(path)

@@ -110,3 +110,16 @@ def test_entities_of_any_number_of_words_and_shared_phrases(spark):
     phr = spark.createDataFrame([("facility", "x", name), ("specialty", "Pediatrics", "Pediatrics"), ("specialty", "Paediatrics", "Paediatrics"), ("specialty", "Nurse", "Nurse")], "entity_type string, entity_id string, label string")
     got = feed.entity_links(arts, phr, letters={"specialty": 1}, shared=("specialty",)).collect()
     assert {(r.entity_type, r.entity_id) for r in got} == {("facility", "x"), ("specialty", "Pediatrics"), ("specialty", "Paediatrics"), ("specialty", "Nurse")}
+
+
+def test_store_keeps_and_replaces_what_items_hold(spark):
+    form = f"{ingest.ITEM}, {ingest.PAYLOAD}"
+    row = lambda i, seq, h, excerpt, body, image: (i, "s", seq, "u", "sh", h, "t", "k", T0, "l", "T", excerpt, body, "A", ["N"], image)
+    items = spark.createDataFrame([row("a", 1, "h1", "old", "long", "i.png"), row("b", 2, "h2", "mid", "m", "j.png"), row("c", 3, "h3", "new", None, None)], form)
+    decisions = spark.createDataFrame([("a", "new", None, None, "a", None), ("b", "duplicate", "a", "canonical_url", "a", "h2"), ("c", "duplicate", "a", "canonical_url", "a", "h3")], ingest.DECISION)
+    none = spark.createDataFrame([], ingest.STORED)
+    first = ingest.merged(none, items.limit(1), decisions.where("id = 'a'")).first()
+    assert (first.link, first.title, first.excerpt, first.content_html, first.author, first.categories, first.image) == ("l", "T", "old", "long", "A", ["N"], "i.png")
+    then = ingest.merged(none, items, decisions).collect()
+    assert [(r.content_hash, r.excerpt, r.content_html, r.image, r.author) for r in then] == [("h3", "new", None, "j.png", "A")]
+    assert {c.split()[0] for c in ingest.PAYLOAD.split(", ")} <= set(stream_ingest.items_of(spark.createDataFrame([], stream_ingest.DOCUMENT)).columns)
