@@ -5,7 +5,7 @@ again. Pivots are fixed for all time and of two kinds:
 
 * point pivots, fixed points of the 64-bit hash space: the item's distance from one is that to its nearest shingle. Items agree
   in a point's distance with the probability of their similarity. Bands of such distances are the join's keys; the range of the
-  distance from the empty set (the size) is the join's second condition;
+  distance from the empty set (the size) is the second condition of the follow-up join, not of the first candidates;
 * set pivots: the empty set and the equal intervals of the hash space. With the metric |A sym. difference B|, the distances from
   them give the number of an item's shingles in each interval, and the triangle inequality, summed over the disjoint intervals, bounds
   the distance of two items from below. Pairs beyond the bound are pruned without loss.
