@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,33 +26,33 @@ NICKNAMES = dict(
     x.split(":")
     for x in """
 abdul:abdullah abdulla:abdullah abdallah:abdullah ahmad:ahmed ahmet:ahmed alex:alexander sasha:alexander sandy:alexander xander:alexander bernie:bernadette
-bernadet:bernadette charlie:charlotte lottie:charlotte charlot:charlotte deepa:deepika dipika:deepika beth:elizabeth liz:elizabeth lizzie:elizabeth eliza:elizabeth
-betty:elizabeth elisabeth:elizabeth manny:emmanuel manuel:emmanuel emanuel:emmanuel fatma:fatima fathima:fatima gabi:gabriela gaby:gabriela gabriella:gabriela
-husayn:hussein hussain:hussein hossein:hussein ebrahim:ibrahim ibraheem:ibrahim abraham:ibrahim quino:joaquin joakin:joaquin joaquim:joaquin kate:katherine kathy:katherine
+charlie:charlotte lottie:charlotte deepa:deepika dipika:deepika beth:elizabeth liz:elizabeth lizzie:elizabeth eliza:elizabeth
+betty:elizabeth elisabeth:elizabeth manny:emmanuel manuel:emmanuel emanuel:emmanuel fatma:fatima fathima:fatima gabi:gabriela gaby:gabriela
+husayn:hussein hussain:hussein hossein:hussein ebrahim:ibrahim abraham:ibrahim quino:joaquin joaquim:joaquin kate:katherine kathy:katherine
 katie:katherine kat:katherine cathy:katherine catherine:katherine khadeeja:khadija khadijah:khadija lucy:lucia luzia:lucia luz:lucia maggie:margaret meg:margaret
-peggy:margaret greta:margaret margret:margaret mohd:mohammed muhammad:mohammed mohamed:mohammed nick:nicholas nico:nicholas nikolas:nicholas
-umar:omar omer:omar priya:priyanka priyanca:priyanka raj:rajesh rajeesh:rajesh rob:robert bob:robert bobby:robert bert:robert robbie:robert sanju:sanjana sanjna:sanjana
-ted:theodore theo:theodore teddy:theodore vicky:victoria vicki:victoria tori:victoria viktoria:victoria bill:william will:william billy:william liam:william willy:william
-wolf:wolfgang volfgang:wolfgang yusuf:yousef youssef:yousef yousuf:yousef josef:joseph joe:joseph zaynab:zainab zeinab:zainab zaineb:zainab tom:thomas jim:james dick:richard
+peggy:margaret greta:margaret mohd:mohammed muhammad:mohammed mohamed:mohammed nick:nicholas nico:nicholas
+umar:omar omer:omar priya:priyanka raj:rajesh rob:robert bob:robert bobby:robert bert:robert robbie:robert sanju:sanjana
+ted:theodore theo:theodore teddy:theodore vicky:victoria vicki:victoria tori:victoria bill:william will:william billy:william liam:william willy:william
+wolf:wolfgang yusuf:yousef youssef:yousef yousuf:yousef josef:joseph joe:joseph zaynab:zainab zeinab:zainab tom:thomas jim:james dick:richard
 mike:michael dave:david dan:daniel sam:samuel tony:anthony chris:christopher steve:stephen ed:edward jen:jennifer sue:susan pat:patricia
 """.split()
 )
 # Words of facility kinds with the short forms that stand for them, and words that tell nothing apart.
 KIND_FORMS = {
-    "centre": "center centres centers ctr ctre cntr cntre centr cen cent",
-    "clinic": "clinics clin clnc cl",
-    "pharmacy": "pharm phcy phar pharmacies phy",
-    "hospital": "hosp hsptl hospitals hospit",
-    "optical": "opt optic opticals optcl",
-    "polyclinic": "poly polyclin polyclinics",
-    "medical": "med medcl medi",
-    "dental": "dent dntl",
-    "diagnostic": "diag diagn diagnostics dgnstc",
-    "physiotherapy": "physio physiother phys phyio",
-    "surgery": "surg surgical surgry",
+    "centre": "center centers ctr cen cent",
+    "clinic": "clinics clin cl",
+    "pharmacy": "pharm phar pharmacies phy",
+    "hospital": "hosp hospitals",
+    "optical": "opt optic opticals",
+    "polyclinic": "poly polyclinics",
+    "medical": "med medi",
+    "dental": "dent",
+    "diagnostic": "diag diagn diagnostics",
+    "physiotherapy": "physio phys",
+    "surgery": "surg surgical",
     "day": "",
-    "home": "hme",
-    "healthcare": "health care healthcr hlthcare hlth healthcar hcare",
+    "home": "",
+    "healthcare": "health care",
     "laboratory": "lab labs laboratories",
     "nursing": "nurs",
 }
@@ -131,6 +132,8 @@ def cuts(length: int, k: int) -> list[tuple[int, int]]:
 
 #: From which lengths on one, two, three edits are allowed: within small blocks, and for strings that meet all others.
 WIDE, NARROW = (4, 7, 14), (4, 9, 14)
+#: Strings that may share a segment before it is no longer a key alone.
+HOT = 64
 
 
 def edits_for(length: int, steps: tuple[int, ...]) -> int:
@@ -138,60 +141,109 @@ def edits_for(length: int, steps: tuple[int, ...]) -> int:
     return sum(length >= x for x in steps)
 
 
-def indexed(s: str, steps: tuple[int, ...]) -> list[tuple[str, int]]:
-    """The segments by which s is found: (segment, tag); the tag says length and segment number.
+def indexed(s: str, k: int) -> list[tuple[str, int, str]]:
+    """The segments by which s is found within k edits: (segment, tag, rest); the tag says length and segment number, the rest is s without the segment.
 
-    A swap of neighbours across a border would spoil two segments with one edit, so the two segments beside each border are indexed with
-    their border letters swapped as well.
+    A swap of neighbours across a border counts as an edit of the segment before it, so the segment behind is indexed with its first letter
+    swapped as well.
     """
-    at = cuts(len(s), edits_for(len(s), steps))
-    out = [(s[p : p + g], len(s) * 8 + i) for i, (p, g) in enumerate(at)]
-    for i, (p, _) in enumerate(at[1:], 1):
-        v = s[: p - 1] + s[p] + s[p - 1] + s[p + 1 :]
-        out += [(v[q : q + g], len(s) * 8 + j) for j, (q, g) in ((i - 1, at[i - 1]), (i, at[i]))]
+    at = cuts(len(s), k)
+    out = [(s[p : p + g], len(s) * 8 + i, s[:p] + s[p + g :]) for i, (p, g) in enumerate(at)]
+    for i, (p, g) in enumerate(at[1:], 1):
+        if g and p:
+            v = s[: p - 1] + s[p] + s[p - 1] + s[p + 1 :]
+            out.append((v[p : p + g], len(s) * 8 + i, v[:p] + v[p + g :]))
     return list(dict.fromkeys(out))
 
 
-def looked_up(s: str, steps: tuple[int, ...]) -> list[tuple[str, int]]:
-    """All (substring, tag) under which an indexed string within its edits must be found."""
+def looked_up(s: str, length: int, k: int) -> list[tuple[str, int, str]]:
+    """All (substring, tag, rest) under which a string of that length within k edits of s must be found.
+
+    Of k + 1 segments there is a first one, number i, with no edit in it, exactly i edits before it and so at most k - i behind it: it is shifted by at most
+    i places, and the rest of the difference in length lies behind it.
+    """
     n, out = len(s), []
-    for length in range(max(1, n - len(steps)), n + len(steps) + 1):
-        k = edits_for(length, steps)
-        if abs(n - length) > k:
-            continue
-        for i, (p, g) in enumerate(cuts(length, k)):
-            for q in range(max(0, p - k), min(n - g, p + k) + 1):
-                out.append((s[q : q + g], length * 8 + i))
+    for i, (p, g) in enumerate(cuts(length, k)):
+        for shift in range(-i, i + 1):
+            q = p + shift
+            if abs(n - length - shift) <= k - i and 0 <= q <= n - g:
+                out.append((s[q : q + g], length * 8 + i, s[:q] + s[q + g :]))
     return list(dict.fromkeys(out))
 
 
-def _pieces(df: DataFrame, keep: list[str], text: str, steps: tuple[int, ...], index: bool) -> DataFrame:
-    source = df.select(*keep, F.col(text).alias("__s"))
+def _pieces(df: DataFrame, keep: list[str], steps: tuple[int, ...], index: bool, longer: bool) -> DataFrame:
+    """The kept columns, s, piece, tag and rest; without index for every length that is in reach (with longer: no less than the string's own)."""
+    source = df.select(*keep, "s")
+
+    def one(s: str) -> list[tuple[str, int, str]]:
+        if index:
+            return indexed(s, edits_for(len(s), steps))
+        n = len(s)
+        reach = [(m, edits_for(m, steps)) for m in range(n if longer else max(1, n - len(steps)), n + len(steps) + 1)]
+        return [x for m, k in reach if abs(n - m) <= k for x in looked_up(s, m, k)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, seg, tag = [], [], []
+            rows, seg, tag, rest = [], [], [], []
             for i, s in enumerate(batch.column(len(keep)).to_pylist()):
-                for piece, t in (indexed if index else looked_up)(s, steps) if s else ():
+                for piece, t, r in one(s) if s else ():
                     rows.append(i)
                     seg.append(piece)
                     tag.append(t)
+                    rest.append(r)
             take = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(len(keep))], batch.column(len(keep)).take(take), pa.array(seg, pa.string()), pa.array(tag, pa.int32())], names=[*keep, "s", "piece", "tag"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(len(keep) + 1)], pa.array(seg, pa.string()), pa.array(tag, pa.int32()), pa.array(rest, pa.string())], names=[*keep, "s", "piece", "tag", "rest"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)])
-    return source.mapInArrow(cut, f"{schema + ', ' if schema else ''}s string, piece string, tag int")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[: len(keep)])
+    return source.mapInArrow(cut, f"{schema}s string, piece string, tag int, rest string")
+
+
+def _again(df: DataFrame, keep: list[str], steps: tuple[int, ...], index: bool) -> DataFrame:
+    """Cuts the rests of pieces once more: the kept columns, s, piece, tag, and piece2, tag2 of the rest."""
+    source = df.select(*keep, "s", "piece", "tag", "rest")
+    n = len(keep)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, seg, tag = [], [], []
+            for i, (piece, t, rest) in enumerate(zip(*[batch.column(n + j).to_pylist() for j in (1, 2, 3)])):
+                k = edits_for(t // 8, steps)
+                for x in indexed(rest, k) if index else looked_up(rest, t // 8 - len(piece), k):
+                    rows.append(i)
+                    seg.append(x[0])
+                    tag.append(x[1])
+            take = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(n + 3)], pa.array(seg, pa.string()), pa.array(tag, pa.int32())], names=[*keep, "s", "piece", "tag", "piece2", "tag2"])
 
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:n])
+    return source.mapInArrow(cut, f"{schema}s string, piece string, tag int, piece2 string, tag2 int")
 
-def segment_join(left: DataFrame, right: DataFrame, block: list[str], *, steps: tuple[int, ...] = WIDE) -> DataFrame:
+
+def segment_join(left: DataFrame, right: DataFrame, block: list[str], *, steps: tuple[int, ...] = WIDE, longer: bool = False, hot: int = HOT) -> DataFrame:
     """Distinct (block..., l, r, distance) of strings within the edits allowed for the right one's length.
 
     left, right: the block columns and `s`, of which distinct rows are taken. Blocks compare by equality, and a NULL block or string
-    meets nothing. The join is one equi-join on block, segment, length and segment number; the pairs are distinct before they are verified.
+    meets nothing. With `longer` only right strings at least as long as the left are looked for, which halves the work of joining a table with
+    itself, and equal strings are left out, as they meet by a plain join. The join is one equi-join on block, segment, length and segment number. A segment that more than `hot` strings of a block share is never a key
+    alone: what is left of both strings without it must agree within the same edits, so it is cut once more by the same rule. Pairs are
+    verified in the JVM (a swap is two plain edits) before they are made distinct, and what is left by the banded distance.
     """
-    a = _pieces(left.select(*block, "s").distinct(), block, "s", steps, False)
-    b = _pieces(right.select(*block, "s").distinct(), block, "s", steps, True).withColumnRenamed("s", "r")
-    met = a.join(b, [*block, "piece", "tag"]).select(*block, F.col("s").alias("l"), "r").distinct()
+    key = [*block, "piece", "tag"]
+    a = _pieces(left.select(*block, "s").distinct(), block, steps, False, longer)
+    b = written(_pieces(right.select(*block, "s").distinct(), block, steps, True, longer), "segments")
+    often = b.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(*key)
+    allowed = reduce(lambda x, y: x + y, [(F.length("r") >= n).cast("int") for n in steps])
+    close = (F.abs(F.length("l") - F.length("r")) <= allowed) & (F.levenshtein("l", "r") <= 2 * allowed)
+    close = close & (F.col("l") != F.col("r")) if longer else close
+    often = written(often, "often")
+    if often.isEmpty():
+        met = a.join(b.withColumnRenamed("s", "r").drop("rest"), key).select(*block, F.col("s").alias("l"), "r").where(close)
+    else:
+        a = written(a, "lookups")
+        once = a.join(b.join(often, key, "left_anti").withColumnRenamed("s", "r").drop("rest"), key)
+        twice = _again(a.join(often, key, "left_semi"), block, steps, False).join(_again(b.join(often, key, "left_semi"), block, steps, True).withColumnRenamed("s", "r"), [*key, "piece2", "tag2"])
+        met = once.select(*block, F.col("s").alias("l"), "r").where(close).union(twice.select(*block, F.col("s").alias("l"), "r").where(close))
+    met = met.distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,11 +265,19 @@ def name_tokens(name: str | None, particles: bool = False) -> list[str]:
     return [w for w in words if w not in HONOURS and (particles or w not in PARTICLES)]
 
 
-def token_strings(name: str | None) -> list[str]:
-    """What a person is found by: words of four letters and more, and neighbours written as one."""
-    t, p = name_tokens(name), name_tokens(name, True)
-    pairs = [x + y for w in (t, p) for x, y in zip(w, w[1:]) if len(x) + len(y) <= 14]
-    return list(dict.fromkeys([w for w in [*t, *pairs] if len(w) >= 4]))
+#: What a string that a person is found by is made of.
+OUTER, WHOLE, JOINED = 0, 1, 2
+
+
+def token_strings(name: str | None) -> dict[str, int]:
+    """What a person is found by: the outer words (any may be the family name), the whole name as one word, and the outer neighbours written as one."""
+    out: dict[str, int] = {}
+    both = [t for t in (name_tokens(name), name_tokens(name, True)) if t]
+    for kind, parts in ((OUTER, lambda t: (t[0], t[-1])), (WHOLE, lambda t: ("".join(t),)), (JOINED, lambda t: ("".join(t[:2]), "".join(t[-2:])))):
+        for t in both:
+            for w in parts(t):
+                out.setdefault(w, kind)
+    return {w: kind for w, kind in out.items() if len(w) > 1}
 
 
 def _given(x: str, y: str) -> bool:
@@ -258,15 +318,17 @@ def one_person(a: str | None, b: str | None) -> bool:
     pa_, pb = name_tokens(a, True), name_tokens(b, True)
     for x in dict.fromkeys(("".join(ta), "".join(pa_))):
         for y in dict.fromkeys(("".join(tb), "".join(pb))):
-            if min(len(x), len(y)) >= 8 and edit_distance(x, y, 2) <= 2:
+            k = edits_for(min(len(x), len(y)), WIDE[:2])
+            if edit_distance(x, y, k) <= k:
                 return True
     for x in _merged(ta) + (_merged(pa_)[1:] if pa_ != ta else []):
         for y in _merged(tb) + (_merged(pb)[1:] if pb != tb else []):
             for i in {0, len(x) - 1}:
                 for j in {0, len(y) - 1}:
-                    if min(len(x[i]), len(y[j])) < 4 or len(x) < 2 or len(y) < 2:
+                    short = min(len(x[i]), len(y[j]))
+                    if short < 2 or len(x) < 2 or len(y) < 2:
                         continue
-                    k = 1 if min(len(x[i]), len(y[j])) < 6 else 2
+                    k = 0 if short < 4 else 1 if short < 6 else 2
                     if edit_distance(x[i], y[j], k) <= k and _in_order(x[:i] + x[i + 1 :], y[:j] + y[j + 1 :]):
                         return True
     return False
@@ -275,12 +337,13 @@ def one_person(a: str | None, b: str | None) -> bool:
 def person_pairs(doctors: DataFrame, key: str, name: str, block: list[Column]) -> DataFrame:
     """(key_a, key_b), the lesser key first, of rows of one block whose names are spellings of one name.
 
-    A row with a NULL in its block, or no word of four letters in its name, is paired with nothing. Repeated rows count once; rows of equal
-    names are paired. Other columns are not read.
+    A row with a NULL in its block, or without a word of two letters in its name, is paired with nothing. Repeated rows count once; rows of equal
+    names are paired, and a key may stand in several blocks. Words below four letters are found as they are, longer ones within their edits; no
+    length is left out. Other columns are not read.
     """
     blocks = [f"b{i}" for i in range(len(block))]
     base = doctors.select(F.col(key).alias("id"), F.col(name).alias("name"), *[c.alias(b) for b, c in zip(blocks, block)]).where("id IS NOT NULL AND name IS NOT NULL").dropna(subset=blocks).distinct()
-    base = base.withColumn("block", F.concat_ws("\x01", *blocks)).select("id", "name", "block")
+    base = base.withColumn("whole", F.concat_ws("\x01", *blocks)).select("id", "name", "whole", F.xxhash64("whole").alias("block"))
     shared = base.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block")
     base = written(base.join(shared, "block"), "persons")
 
@@ -288,14 +351,23 @@ def person_pairs(doctors: DataFrame, key: str, name: str, block: list[Column]) -
         for batch in batches:
             many = [token_strings(n) for n in batch.column(1).to_pylist()]
             take = pa.array([i for i, m in enumerate(many) for _ in m], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array([s for m in many for s in m], pa.string())], names=["id", "block", "s"])
-
-    words = written(base.select("id", "name", "block").mapInArrow(strings, "id string, block string, s string"), "words")
-    alike = written(segment_join(words, words, ["block"], steps=WIDE[:2]), "alike")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array([s for m in many for s in m], pa.string()), pa.array([j for m in many for j in m.values()], pa.int32())], names=["id", "block", "s", "kind"])
+
+    words = written(base.select("id", "name", "block").mapInArrow(strings, "id string, block long, s string, kind int"), "words")
+    plain, outer = words.where(F.col("kind") != JOINED), words.where(F.col("kind") == OUTER)
+    # Neighbours written as one can only be a word of another name: they are looked up where the block has a word that long.
+    longest = outer.groupBy("block").agg(F.max(F.length("s")).alias("most"))
+    joined = words.where(F.col("kind") == JOINED).join(longest, "block").where(F.length("s") - len(WIDE[:2]) <= F.col("most"))
+    alike = segment_join(plain, plain, ["block"], steps=WIDE[:2], longer=True).union(segment_join(joined, outer, ["block"], steps=WIDE[:2]).where("l <> r"))
+    alike = written(alike, "alike")
     a = words.select("block", F.col("s").alias("l"), F.col("id").alias("key_a"))
     b = words.select("block", F.col("s").alias("r"), F.col("id").alias("key_b"))
-    met = alike.join(a, ["block", "l"]).join(b, ["block", "r"]).select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).where("key_a < key_b").distinct()
-    both = met.join(base.select(F.col("id").alias("key_a"), F.col("name").alias("na")), "key_a").join(base.select(F.col("id").alias("key_b"), F.col("name").alias("nb")), "key_b")
+    pair = [F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")]
+    met = alike.join(a, ["block", "l"]).join(b, ["block", "r"]).where("key_a <> key_b").select(*pair)
+    same = a.withColumnRenamed("l", "s").join(b.withColumnRenamed("r", "s"), ["block", "s"]).where("key_a < key_b").select("key_a", "key_b")
+    met = met.union(same).distinct()
+    # Blocks met by a hash; here they are compared as they are.
+    both = met.join(base.select(F.col("id").alias("key_a"), F.col("name").alias("na"), "whole"), "key_a").join(base.select(F.col("id").alias("key_b"), F.col("name").alias("nb"), "whole"), ["key_b", "whole"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,16 +377,26 @@ def person_pairs(doctors: DataFrame, key: str, name: str, block: list[Column]) -
     return both.select("key_a", "key_b", "na", "nb").mapInArrow(verify, "key_a string, key_b string").distinct()
 
 
+def _shortened(word: str, kind: str) -> bool:
+    """Whether the word is the kind with letters left out: the same first and last letter, and half of the letters at least, in order."""
+    if len(word) < 3 or 2 * len(word) < len(kind) or word[0] != kind[0] or word[-1] != kind[-1]:
+        return False
+    letters = iter(kind)
+    return all(c in letters for c in word)
+
+
+@lru_cache(maxsize=65_536)
 def _kind_of(word: str) -> str | None:
+    """The kind a word stands for: written out or in a usual short form, cut off, with letters left out, or mistyped."""
     if word in _FORM:
         return _FORM[word]
+    for form, kind in _FORM.items():
+        if len(form) >= 4 and (len(word) >= 4 and form.startswith(word) or _shortened(word, form)):
+            return kind
     if len(word) >= 5:
-        for kind in KIND_FORMS:
-            if len(kind) >= 5 and (kind.startswith(word) or edit_distance(word, kind, 1 if len(kind) < 8 else 2) <= (1 if len(kind) < 8 else 2)):
-                return kind
-    elif len(word) == 4:
-        for kind in KIND_FORMS:
-            if kind.startswith(word):
+        for form, kind in _FORM.items():
+            k = 1 if len(form) < 8 else 2
+            if len(form) >= 5 and edit_distance(word, form, k) <= k:
                 return kind
     return None
 

@@ -33,12 +33,16 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return g.join(head, "group").select("id", "group_id", "members")
 
 
+#: A part of an education entry that names an institution; a qualification such as "Pre-University" names none.
+_SCHOOL = r"(?i)(?:^|·)\s*([^·]*(?<![\w-])(?:university|college|institute|school|academy)(?!\w)[^·]*?)\s*(?:·|$)"
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     doctor = once(table(spark, folder, "doctor"), "id", "name", "nationality", "education", "facility")
-    university = F.regexp_extract("education", r"(University of [^·|]*[^·|\s])", 1)
-    year = F.regexp_extract("education", r"University of [^|]*Graduated (\d{4})", 1)
-    block = [F.nullif(F.trim("nationality"), F.lit("")), F.nullif(university, F.lit("")), F.nullif(year, F.lit(""))]
-    persons = names.person_pairs(doctor, "id", "name", block)
+    entries = F.filter(F.split("education", r"\|"), lambda e: F.contains(F.lower(e), F.lit("graduated")))
+    studies = doctor.select("id", "name", "nationality", F.explode(entries).alias("e"))
+    block = [F.nullif(F.trim(c), F.lit("")) for c in (F.col("nationality"), F.regexp_extract("e", _SCHOOL, 1), F.regexp_extract("e", r"(?i)(?:^|·)\s*Graduated\s+(\d{4})\s*(?:·|$)", 1))]
+    persons = names.person_pairs(studies, "id", "name", block)
     links = names.facility_links(doctor, table(spark, folder, "facility"))
     return persons.select(F.lit("person").alias("kind"), "key_a", "key_b").union(links.select(F.lit("facility").alias("kind"), "key_a", "key_b"))
 

@@ -51,6 +51,29 @@ def test_segment_join_equals_brute_force(spark):
             if osa(a, b) <= k:
                 assert found[(a, b)] == osa(a, b)
     assert all(d <= N.edits_for(len(b), N.WIDE) and d == osa(a, b) for (a, b), d in found.items())
+    # Segments that several strings share are no key alone, and nothing is lost by it.
+    again = N.segment_join(spark.createDataFrame([(w,) for w in left], "s string"), spark.createDataFrame([(w,) for w in right], "s string"), [], hot=1)
+    assert {(r.l, r.r): r.distance for r in again.collect()} == found
+
+
+def test_join_with_itself(spark):
+    w = words(5, 200)
+    df = spark.createDataFrame([(x,) for x in w], "s string")
+    for hot in (N.HOT, 2):
+        found = {(r.l, r.r) for r in N.segment_join(df, df, [], steps=(4, 7), longer=True, hot=hot).collect()}
+        assert found == {(a, b) for a in w for b in w if a != b and len(a) <= len(b) and osa(a, b) <= N.edits_for(len(b), (4, 7))}
+
+
+def test_short_names_and_long_joined_ones():
+    for a, b in (("Anna Li", "Ana Li"), ("AlexanderLastitais", "Alexander Lastitais"), ("Bo Xu", "Xu, Bo"), ("Omar Ng", "OMAR NG, MD")):
+        assert N.one_person(a, b) and set(N.token_strings(a)) & set(N.token_strings(b)), (a, b)
+    assert not N.one_person("Anna Li", "Anna Chu") and not N.one_person("Omar Ng", "Zainab Ng")
+
+
+def test_kinds_of_facilities():
+    short = {"hosp": "hospital", "dntl": "dental", "phyio": "physiotherapy", "hme": "home", "surgry": "surgery", "cntre": "centre", "optcl": "optical", "dgnstc": "diagnostic", "phcy": "pharmacy", "hlthcare": "healthcare"}
+    assert {w: N._kind_of(w) for w in short} == short
+    assert not any(N._kind_of(w) for w in ("noor", "jujupor", "hal", "dala", "pym"))
 
 
 def test_names():
