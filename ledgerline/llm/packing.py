@@ -54,12 +54,19 @@ def pack(items: list[tuple], shares: dict, deficits: dict, capacity: int) -> lis
 
     An item larger than the capacity is cut into whole containers and a rest, which is packed as an item; no other is cut. Every
     container takes from the source with the largest deficit that has something which fits, its largest such item; what is taken is
-    charged to the source, and what a container holds is credited to all by their shares. Sizes must be positive.
+    charged to the source and credited to all by their shares, empty room to none. So whatever the order, a source ends with what it began with, plus
+    its share of the tokens packed, less its own tokens: the next part's start is known without packing this one. Sizes must be positive.
     """
     queues: dict = {}
     out: list[tuple] = []
     container = 0
     owed = {s: float(deficits.get(s, 0.0)) for s in shares}
+
+    def charge(source, size: int) -> None:
+        for s, w in shares.items():
+            owed[s] += w * size
+        owed[source] -= size
+
     for key, source, size in sorted(items, key=lambda x: (str(x[1]), str(x[0])), reverse=True):
         queue = queues.setdefault(source, _Queue())
         owed.setdefault(source, float(deficits.get(source, 0.0)))
@@ -67,17 +74,13 @@ def pack(items: list[tuple], shares: dict, deficits: dict, capacity: int) -> lis
         for piece in range(whole):
             out.append((key, piece, container, 0, 0, capacity))
             container += 1
-            for s, w in shares.items():
-                owed[s] += w * capacity
-            owed[source] -= capacity
+            charge(source, capacity)
         rest = size - whole * capacity
         if rest:
             queue.add(rest, (key, whole))
     queues = {s: q for s, q in queues.items() if q.sizes}
     while queues:
         room, slot = capacity, 0
-        for s, w in shares.items():
-            owed[s] += w * capacity
         while room:
             best, size = None, -1
             for s, q in queues.items():
@@ -88,7 +91,7 @@ def pack(items: list[tuple], shares: dict, deficits: dict, capacity: int) -> lis
                 break
             key, piece = queues[best].take(size)
             out.append((key, piece, container, slot, capacity - room, size))
-            owed[best] -= size
+            charge(best, size)
             room -= size
             slot += 1
             if not queues[best].sizes:
@@ -97,33 +100,41 @@ def pack(items: list[tuple], shares: dict, deficits: dict, capacity: int) -> lis
     return out
 
 
-def packed(sizes: DataFrame, limits: DataFrame, key: str, source: str, *, targets: dict[str, float] | None = None, part_tokens: int = PART_TOKENS) -> DataFrame:
+def _before(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """sums (part, block, t and the keys) with `before`, the sum of t over the earlier parts of the keys; no window is longer than a block or the number of blocks."""
+    blocks = sums.groupBy(*keys, "block").agg(F.sum("t").alias("t"))
+    earlier = blocks.select(*keys, "block", (F.sum("t").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("block")) - F.col("t")).alias("earlier"))
+    own = F.sum("t").over(Window.partitionBy(*keys, "block").orderBy("part")) - F.col("t")
+    return sums.withColumn("own", own).join(earlier, [*keys, "block"]).withColumn("before", F.col("own") + F.col("earlier")).drop("own", "earlier")
+
+
+def packed(sizes: DataFrame, limits: DataFrame, key: str, source: str, *, targets: DataFrame | None = None, part_tokens: int = PART_TOKENS) -> DataFrame:
     """Places of all rows for each limit: purpose, capacity, container, slot, offset, key, piece, source, tokens.
 
     sizes: key, source and tokens, a written table; limits: purpose, capacity_tokens (few rows, each a round of its own over the rows).
     container is unique within a purpose; offset is the place's first token in it; piece counts the pieces of a row, from 0, and is 0 for
-    an uncut one. targets: the wanted share of tokens of each source, by default the shares that the rows have; a source without a target is
-    wanted nowhere but still packed. Rows without tokens have no place; a NULL source is a source. Rows are spread over parts by the key's hash, so
+    an uncut one. targets: source and weight, the wanted proportions of tokens, by default those that the rows have; a source without a target is
+    wanted nowhere but still packed, one given twice counts once, and weights need no sum of 1. Rows without tokens have no place; a NULL source is a source. Rows are spread over parts by the key's hash, so
     a source or key that holds a third of all rows is spread too. An empty table gives no places.
     """
     rows = sizes.where("tokens > 0").select(F.col(key).alias("key"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col("tokens").cast("long").alias("tokens"))
     total = rows.agg(F.sum("tokens")).first()[0] or 0
-    if targets is None:  # a row for each source
-        targets = {r["source"]: r["t"] / total for r in rows.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
-    every = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(float(w)).alias("share")) for s, w in sorted(targets.items())]) if targets else F.array().cast("array<struct<source:string,share:double>>")
+    if targets is None:
+        wanted = rows.groupBy("source").agg(F.sum("tokens").alias("weight"))
+    else:
+        wanted = targets.select(F.coalesce(F.col("source"), F.lit("")).alias("source"), F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("weight")).dropDuplicates(["source"])
+    of_all = wanted.agg(F.sum("weight").cast("double")).first()[0] or 1.0
+    shares = wanted.select("source", (F.col("weight") / F.lit(of_all)).alias("share"))
     limit = [(r["purpose"], int(r["capacity"])) for r in limits.select("purpose", F.col("capacity_tokens").alias("capacity")).where("purpose IS NOT NULL AND capacity_tokens > 0").distinct().collect()]  # a few rows by definition
     purposes = F.array(*[F.struct(F.lit(p).alias("purpose"), F.lit(c).alias("capacity")) for p, c in sorted(limit)]) if limit else F.array().cast("array<struct<purpose:string,capacity:int>>")
     parts = max(1, -(-total // part_tokens))
     placed = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
-    # What each part has of each source against the targets, and the running sum over the parts before it, in two levels.
-    size = placed.groupBy("part").agg(F.sum("tokens").alias("all"))
-    have = placed.groupBy("part", "source").agg(F.sum("tokens").alias("t"))
-    behind = size.select("part", "all", F.inline(every)).join(have, ["part", "source"], "left")  # a row for each part and source
-    behind = behind.select("part", "source", "share", (F.col("share") * F.col("all") - F.coalesce("t", F.lit(0))).alias("d")).withColumn("block", F.floor(F.col("part") / BLOCK))
-    blocks = behind.groupBy("source", "block").agg(F.sum("d").alias("d"))
-    earlier = blocks.select("source", "block", (F.sum("d").over(Window.partitionBy("source").orderBy("block")) - F.col("d")).alias("before"))
-    within = behind.withColumn("own", F.sum("d").over(Window.partitionBy("source", "block").orderBy("part")) - F.col("d"))
-    carried = within.join(earlier, ["source", "block"]).select("part", "source", "share", (F.col("own") + F.col("before")).alias("deficit"))
+    # What each source is behind its share before each part that it has rows in: two running sums over the parts before it, each in two levels.
+    have = placed.groupBy("part", "source").agg(F.sum("tokens").alias("t")).withColumn("block", F.floor(F.col("part") / BLOCK))
+    packed_before = _before(have.groupBy("part", "block").agg(F.sum("t").alias("t")), []).select("part", F.col("before").alias("all_before"))
+    of_source = _before(have, ["source"])
+    share = F.coalesce("share", F.lit(0.0))
+    carried = of_source.join(packed_before, "part").join(shares, "source", "left").select("part", "source", share.alias("share"), (share * F.col("all_before") - F.col("before")).alias("deficit"))
     kind = sizes.schema[key].dataType.simpleString()
     schema = f"purpose string, capacity int, container long, slot int, offset int, `{key}` {kind}, piece int, source string, tokens int"
 

@@ -74,6 +74,12 @@ def p6_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return packing.mixture_report(written(p6_packed(spark, folder), "places"))
 
 
+def p6_target_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """As p6_mixture, for containers filled towards the shares of mix_target as long as its sources have documents."""
+    targets = table(spark, folder, "mix_target").select("source", "weight")
+    return packing.mixture_report(written(packing.packed(_sizes(spark, folder), table(spark, folder, "pack_limit"), "doc_id", "source", targets=targets), "places"))
+
+
 def p7_drawn(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.drawn(_sizes(spark, folder), table(spark, folder, "mix_target"), "doc_id")
 
@@ -83,5 +89,5 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.share_report(written(mixing.drawn(sizes, targets, "doc_id"), "draws"), sizes, targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p4_found, p6_packed, p6_fill, p6_mixture, p7_drawn, p7_shares, p8_found, p8_labels)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p4_found, p6_packed, p6_fill, p6_mixture, p6_target_mixture, p7_drawn, p7_shares, p8_found, p8_labels)}
 SQL: dict[str, str] = {}

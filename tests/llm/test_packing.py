@@ -47,6 +47,26 @@ def test_shares_hold_and_deficits_are_carried():
     assert all(p[0][0] == "c" for p in first if p[2] == 0)
 
 
+def test_a_part_starts_with_what_the_earlier_ones_end_with(spark):
+    """Parts packed one after the other, each with the deficits left by the last, give the places that packed() gives."""
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice("aaab"), rnd.randint(1, 90), 1, "x") for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    limits = spark.createDataFrame([("s", 128)], "purpose string, capacity_tokens int")
+    targets = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("none", 0.0)], "source string, weight double")
+    got = defaultdict(list)
+    for r in packing.packed(df, limits, "doc_id", "source", targets=targets, part_tokens=5_000).collect():
+        got[r.container >> 32].append((r.doc_id, r.piece, r.container & 0xFFFFFFFF, r.slot, r.offset, r.tokens))
+    of = {i: (s, n) for i, s, n, *_ in rows}
+    shares, owed = {"a": 0.25, "b": 0.75}, {"a": 0.0, "b": 0.0}
+    assert len(got) > 5
+    for part in sorted(got):
+        items = [(i, *of[i]) for i in {p[0] for p in got[part]}]
+        assert sorted(packing.pack(items, shares, owed, 128)) == sorted(got[part])
+        for s, w in shares.items():
+            owed[s] += w * sum(n for *_, n in items) - sum(n for _, x, n in items if x == s)
+
+
 SCHEMA = "doc_id long, source string, tokens int, part int, container string"
 
 
