@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 from ledgerline.llm import mixing
 
@@ -32,7 +34,18 @@ def test_too_large_a_total_is_capped(spark):
     targets = spark.createDataFrame([("a", 0.5, 1), ("c", 0.5, 3)], TARGETS)
     out = mixing.drawn(sizes, targets, "doc_id", total_tokens=10**9).collect()
     assert all(r.copies == (1 if r.source == "a" else 3) for r in out)
-    assert len(out) == sum(1 for _, s, n, _ in corpus() if s in "ac" and n) if all(s for _, s, *_ in corpus()) else True
+    assert {r.doc_id for r in out} == {i for i, s, n, _ in corpus() if s in ("a", "c") and n}
+
+
+def test_a_small_share_of_a_large_source_is_cut_into_small_ranges(spark):
+    sizes = spark.range(20_000).selectExpr("id AS doc_id", "'a' AS source", "100 AS tokens", "0 AS copies").union(spark.createDataFrame([(-1, "b", 2_000, 0)], SIZES))
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], TARGETS)
+    out = mixing.drawn(sizes, targets, "doc_id").where("source = 'a'").count()
+    assert out == 20
+    # With an inclusion of 0.001 the odds' logarithms still spread over many ranges about the end of the sample.
+    p = 0.001
+    logs = [math.log(u / (1 - u) * (1 - p) / p) for u in ((i + 0.5) / 1e6 for i in range(1_000_000)) if 0.5 * p < u < 2 * p]
+    assert max(Counter(math.floor(x * mixing.RANGES) for x in logs).values()) <= 2
 
 
 def test_inclusion_follows_the_odds(spark):
