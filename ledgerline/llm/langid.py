@@ -265,11 +265,11 @@ def train(sample: list[tuple[str, str]], s: Settings) -> Model:
 
 
 def sample_of(df: DataFrame, key: str, text: str, label: str, s: Settings) -> list[tuple[str, str]]:
-    """At most train_rows rows of each language, by the least hash of the key; only their keys are ranked, partly before the shuffle."""
+    """At most train_rows rows of each language, whole, by the least hash of the key; only their keys are ranked, partly before the shuffle."""
     coded = df.select(F.col(key).alias("id"), label_code(F.col(label)).alias("code")).where(F.col("code").isin(*s.languages)).distinct()
     ranked = coded.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy(F.xxhash64("id"), "id"))).where(F.col("n") <= s.train_rows)
     chosen = F.broadcast(ranked.select("id", "code"))  # train_rows for each language at most
-    rows = df.select(F.col(key).alias("id"), F.substring(F.col(text), 1, 20_000).alias("text")).join(chosen, "id").select("text", "code").collect()
+    rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(chosen, "id").select("text", "code").collect()
     return [(r.text, r.code) for r in rows]
 
 
