@@ -31,7 +31,11 @@ def pruned(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
     more than the sets do within it, and the intervals are disjoint, so the differences add up to a lower bound.
     """
     needed = bounded(written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pruning"))
-    vectors = table.select("node", "counts").join(needed, "node", "left_semi").dropDuplicates(["node"])
+    return within_reach(pairs, table.select("node", "counts").join(needed, "node", "left_semi").dropDuplicates(["node"]), least)
+
+
+def within_reach(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """pruned() with the distances at hand: vectors has one row (node, counts) for each node of a pair."""
     both = pairs.join(vectors.select(F.col("node").alias("a"), F.col("counts").alias("ca")), "a").join(vectors.select(F.col("node").alias("b"), F.col("counts").alias("cb")), "b")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

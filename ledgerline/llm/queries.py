@@ -14,7 +14,7 @@ WORDS, LEAST = 3, 0.5
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    out = history.check_deliveries(table(spark, folder, "article"), table(spark, folder, "article_batch"), words=WORDS, least=LEAST)
+    out = history.check_deliveries(table(spark, folder, "article"), table(spark, folder, "article_batch"), words=WORDS, least=LEAST, at_once=6)
     return out.select(F.col("id").alias("id_a"), F.col("of").alias("id_b")).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
