@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 WS = "[\\t\\n\\x0B\\f\\r    -     　﻿]"
 # Words that titles are compared without.
 TITLE_STOP = (
-    "the a an of for to in on and as at by with from new say says amid its their his her our they them this that these those is are was were be been has have had "
-    "will would can could after over into about more most"
-).split()
+    "the", "a", "an", "of", "for", "to", "in", "on", "and", "as", "at", "by", "with", "from", "new", "say", "says", "amid", "its", "their", "his", "her", "our", "they",
+    "them", "this", "that", "these", "those", "is", "are", "was", "were", "be", "been", "has", "have", "had", "will", "would", "can", "could", "after", "over", "into",
+    "about", "more", "most",
+)
 # Words of legal forms and branches in facility names.
 COMPANY_WORDS = (
-    "llc lc fzllc fzco fzc fze fz dmcc dwc dwtc jlt pjsc psc jsc wll ltd limited inc incorporated plc est establishment co company corp corporation holding holdings "
-    "group enterprises enterprise trading general investment investments sole proprietorship partnership br brof branch branches llp lp pvt private owned person single ope"
-).split()
+    "llc", "lc", "fzllc", "fzco", "fzc", "fze", "fz", "dmcc", "dwc", "dwtc", "jlt", "pjsc", "psc", "jsc", "wll", "ltd", "limited", "inc", "incorporated", "plc", "est",
+    "establishment", "co", "company", "corp", "corporation", "holding", "holdings", "group", "enterprises", "enterprise", "trading", "general", "investment",
+    "investments", "sole", "proprietorship", "partnership", "br", "brof", "branch", "branches", "llp", "lp", "pvt", "private", "owned", "person", "single", "ope",
+)
 # Spellings unified in facility names.
 FACILITY_SPELLINGS = {"center": "centre", "centers": "centre", "centres": "centre", "cntr": "centre", "clinics": "clinic", "pharmacies": "pharmacy", "laboratories": "laboratory", "labs": "lab", "hospitals": "hospital"}
 # British spellings and the American ones they are compared as.
@@ -46,6 +48,11 @@ _FROM, _TO, _MANY = _decompositions()
 _MARKS = "[̀-ͯ]"
 
 
+def _with(value: Column, f) -> Column:
+    """f(value), with the value worked out once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def squeezed(c: Column) -> Column:
     """Runs of white space as one blank, none outside."""
     return F.trim(F.regexp_replace(c, WS + "+", " "))
@@ -148,20 +155,39 @@ def stripped(c: Column) -> Column:
 
 
 #: Elements that go with all they hold, and tags that stay.
-DANGEROUS = ("script", "style", "iframe", "object", "embed", "form", "noscript", "svg", "link")
-ALLOWED_TAGS = ("p", "br", "ul", "ol", "li", "a", "strong", "em", "b", "i", "h2", "h3", "h4", "blockquote", "img", "figure", "figcaption", "table", "tr", "td", "th", "tbody", "thead")
+DANGEROUS = ("script", "style", "iframe", "object", "embed", "form", "input", "noscript", "svg", "link")
+ALLOWED_TAGS = ("p", "br", "ul", "ol", "li", "a", "strong", "em", "b", "i", "u", "h2", "h3", "h4", "blockquote", "img", "figure", "figcaption")
+
 
+def sanitised(c: Column, base: Column | None = None) -> Column:
+    """[F16] Markup of which only harmless elements stay: links with their http(s) address, pictures with that and their text, both resolved against the base.
 
-def sanitised(c: Column) -> Column:
-    """[F16] Markup of which only harmless elements stay, links and images with their http(s) address and nothing else."""
+    A link without such an address loses its opening tag, a picture goes. Every tag is looked at once and written anew.
+    """
+    base = F.lit(None).cast("string") if base is None else base
     for name in DANGEROUS:
         c = F.regexp_replace(F.regexp_replace(c, rf"(?is)<{name}\b.*?</{name}\s*>", ""), rf"(?is)<{name}\b[^>]*>", "")
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
     c = F.regexp_replace(c, r"(?i)<(?!/?(?:" + "|".join(ALLOWED_TAGS) + r")\b)[^>]*>", "")
-    c = F.regexp_replace(c, r"""(?i)<a\b[^>]*?\bhref\s*=\s*["'](https?://[^"']*)["'][^>]*>""", '<a href="$1">')
-    c = F.regexp_replace(c, r"""(?i)<img\b[^>]*?\bsrc\s*=\s*["'](https?://[^"']*)["'][^>]*>""", '<img src="$1">')
-    c = F.regexp_replace(c, r"""(?i)<(?!a href="https?://[^"]*">|img src="https?://[^"]*">)([a-z][a-z0-9]*)\b[^>]*>""", "<$1>")
-    return squeezed(F.regexp_replace(F.regexp_replace(c, "(?i)<img>", ""), r"(?i)<(p|li|h2|h3|h4|em|strong|b|i)>\s*</\1>", ""))
+    # A text is its pieces before each "<" and the tags behind them.
+    pieces = F.split(c, "<")
+    def attribute(tag: Column, name: str) -> Column:
+        return F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']([^"']*)["']""", 1)
+    def with_address(tag: Column, name: str, f) -> Column:
+        """f of the tag's usable address, nothing without one."""
+        quoted = lambda x: F.replace(x, F.lit('"'), F.lit("&quot;"))
+        here = lambda x: F.when(x == "", None).otherwise(absolute(x, base))
+        return _with(attribute(tag, name), lambda raw: F.coalesce(_with(F.when(raw.contains("&"), decoded(raw)).otherwise(raw), lambda x: f(quoted(here(x)))), F.lit("")))
+    def alt(tag: Column) -> Column:
+        return _with(attribute(tag, "alt"), lambda x: F.when(x != "", F.concat(F.lit(' alt="'), x, F.lit('"'))).otherwise(""))
+    def anew(piece: Column) -> Column:
+        tag, rest = F.regexp_extract(piece, r"^([^>]*)>", 1), F.regexp_replace(piece, r"^[^>]*>", "")
+        name = F.lower(F.regexp_extract(piece, r"^(/?[A-Za-z][A-Za-z0-9]*)", 1))
+        link = with_address(tag, "href", lambda x: F.concat(F.lit('<a href="'), x, F.lit('">')))
+        picture = with_address(tag, "src", lambda x: F.concat(F.lit('<img src="'), x, F.lit('"'), alt(tag), F.lit(">")))
+        return F.concat(_with(name, lambda n: F.when(n == "a", link).when(n == "img", picture).when(n == "", "").otherwise(F.concat(F.lit("<"), n, F.lit(">")))), rest)
+    c = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), anew), ""))
+    return squeezed(F.regexp_replace(c, r"(?i)<(p|li|h2|h3|h4|em|strong|b|i|u)>\s*</\1>", ""))
 
 
 def reading_minutes(text: Column) -> Column:
@@ -171,18 +197,34 @@ def reading_minutes(text: Column) -> Column:
 
 
 def absolute(url: Column, base: Column) -> Column:
-    """An http(s) address, resolved against the base; NULL for any other scheme."""
+    """An http(s) address, resolved against the base, with its dot segments; NULL for any other scheme."""
     root = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
     folder = F.regexp_extract(base, r"^(https?://[^/?#]+(?:/[^?#]*/|/)?)", 1)
     scheme = F.regexp_extract(base, r"^(https?):", 1)
     plain = F.trim(url)
-    return (
+    whole = (
         F.when(plain.rlike("(?i)^https?://"), plain)
         .when(plain.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (root == "") | base.isNull(), None)
         .when(plain.startswith("//"), F.concat(scheme, F.lit(":"), plain))
         .when(plain.startswith("/"), F.concat(root, plain))
         .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), plain))
     )
+    return _with(whole, lambda w: F.when(w.rlike(r"/\.\.?(?:[/?#]|$)"), _without_dots(w)).otherwise(w))
+
+
+def _without_dots(c: Column) -> Column:
+    """An address whose path has its "." and ".." segments carried out."""
+    host = F.regexp_extract(c, r"^([A-Za-z]+://[^/?#]*)", 1)
+    path = F.regexp_extract(c, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    tail = F.regexp_extract(c, r"^[^?#]*(.*)$", 1)
+    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
+    ends = F.element_at(segments, -1).isin(".", "..")
+    def step(done: Column, x: Column) -> Column:
+        shorter = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(x == "..", shorter).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    left = F.aggregate(segments, F.array().cast("array<string>"), step)
+    left = F.when(ends, F.concat(left, F.array(F.lit("")))).otherwise(left)
+    return F.concat(host, F.lit("/"), F.array_join(left, "/"), tail)
 
 
 def html_escaped(c: Column) -> Column:

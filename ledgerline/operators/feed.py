@@ -68,7 +68,7 @@ def items(documents: DataFrame, xml: str, base: str, keep: list[str]) -> DataFra
     any_link = F.regexp_extract(b, r"""(?is)<link\b[^>]*\bhref\s*=\s*["']([^"']+)["']""", 1)
     link = F.coalesce(T.stripped(_element(b, "link")), F.nullif(alternate, F.lit("")), F.nullif(any_link, F.lit("")))
     summary, body = _element(b, "description", "summary"), _element(b, "content:encoded", "content")
-    clean = T.sanitised(T.decoded(F.coalesce(body, F.when(F.length(T.stripped(summary)) > 900, summary))))
+    clean = T.sanitised(T.decoded(F.coalesce(body, F.when(F.length(T.stripped(summary)) > 900, summary))), F.col("_base"))
     attr = lambda tag: F.nullif(F.regexp_extract(b, rf"""(?is)<{tag}\b[^>]*\burl\s*=\s*["']([^"']+)["']""", 1), F.lit(""))
     img = lambda c: F.nullif(F.regexp_extract(T.decoded(c), r"""(?is)<img\b[^>]*\bsrc\s*=\s*["']([^"']+)["']""", 1), F.lit(""))
     pictures = [usable_picture(T.absolute(x, F.col("_base"))) for x in (attr("enclosure"), attr("media:content"), attr("media:thumbnail"), img(summary), img(body))]

@@ -60,7 +60,8 @@ def _p3_sql(fields: list[str], values: bool) -> str:
     extra = ", CAST(NULL AS VARCHAR) AS left_value, CAST(NULL AS VARCHAR) AS right_value" if values else ""
     parts = [f"{head}, 'missing_in_mirror' AS finding{extra} FROM j WHERE no_b", f"{head}, 'missing_in_register' AS finding{extra} FROM j WHERE no_a"]
     for f in fields:
-        pair = f", CAST(a_{f} AS VARCHAR) AS left_value, CAST(b_{f} AS VARCHAR) AS right_value" if values else ""
+        shown = "CASE WHEN {c} IS NOT NULL THEN rtrim(rtrim(strftime(timezone('UTC', {c}), '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') || '+00' END" if f == "updatedAt" else "CAST({c} AS VARCHAR)"
+        pair = f", {shown.format(c='a_' + f)} AS left_value, {shown.format(c='b_' + f)} AS right_value" if values else ""
         parts.append(f"{head}, '{f}' AS finding{pair} FROM j WHERE NOT no_a AND NOT no_b AND a_{f} IS DISTINCT FROM b_{f}")
     return _P3_SIDES.format(columns=columns) + "\nUNION ALL ".join(parts)
 
@@ -68,6 +69,6 @@ def _p3_sql(fields: list[str], values: bool) -> str:
 QUERIES = {"p3_found": p3_found, "p3_values": p3_values, "p3_summary": p3_summary, "p5_found": p5_found}
 SQL = {
     "p3_found": _p3_sql(PLACEMENT_FIELDS, False),
-    "p3_values": _p3_sql(PLACEMENT_FIELDS[:-1], True),
+    "p3_values": _p3_sql(PLACEMENT_FIELDS, True),
     "p3_summary": f"SELECT finding, count(*) AS rows FROM ({_p3_sql(PLACEMENT_FIELDS, False)}) GROUP BY finding",
 }

@@ -44,22 +44,29 @@ def test_vectors(spark, f, given, wanted):
 
 
 def test_fold_equals_unicode_data(spark):
-    texts = ["Šťáva ĳ Ǆ ﬂ ㎏ ﷺ مرحبا é́ x", "ÀÉÎÕÜ ñ ç ø ł", "Ⅷ ① ２３"]
+    texts = ["Šťáva ﬂ مرحبا é́ x", "ÀÉÎÕÜ ñ ç ø ł", "① ２３", "½ cup ﬃ"]
     for t in texts:
         plain = "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not "̀" <= c <= "ͯ")
         want = " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in plain).split())
-        got = one(spark, T.fold, t)
-        assert got == want or set(t) & set("ĳǆǄ㎏ﷺⅧ")
+        assert one(spark, T.fold, t) == want, t
+
+
+def test_fold_of_rare_compatibility_forms(spark):
+    """Forms of several letters that the fold does not spell out become blanks, and nothing else changes."""
+    assert one(spark, T.fold, "a ĳ b ㎏ c ﷺ d") == "a b c d"
 
 
 def test_markup(spark):
-    html = '<div onclick="x()">a<script>evil("<p>")</script><p style="c">b <a class="k" href="https://e.org/x">l</a><a href="javascript:1">m</a></p><p></p><img src=\'https://e.org/i.png\' onerror=z></div><!-- c -->'
-    assert one(spark, T.sanitised, html) == 'a<p>b <a href="https://e.org/x">l</a><a>m</a></p><img src="https://e.org/i.png">'
+    html = '<div onclick="x()">a<script>evil("<p>")</script><p style="c">b <a class="k" href="https://e.org/x">l</a><a href="javascript:1">m</a></p><p></p><img src=\'https://e.org/i.png\' alt="pic" onerror=z><img src="data:1"></div><!-- c --><u>n</u><table><tr><td>t</td></tr></table><input value=1>'
+    assert one(spark, T.sanitised, html) == 'a<p>b <a href="https://e.org/x">l</a>m</a></p><img src="https://e.org/i.png" alt="pic"><u>n</u>t'
+    relative = '<p><a href="../more.html?a=1&amp;b=2">x</a> <img src="i.png"> 1 < 2</p>'
+    assert one(spark, lambda c: T.sanitised(c, F.lit("https://e.org/news/day/a.html")), relative).startswith('<p><a href="https://e.org/news/more.html?a=1&b=2">x</a> <img src="https://e.org/news/day/i.png">')
+    assert one(spark, T.sanitised, None) is None and one(spark, T.sanitised, "") == ""
 
 
 def test_addresses_and_dates(spark):
     base = "https://e.org/news/today.html"
-    cases = {"https://x.org/a": "https://x.org/a", "//x.org/a": "https://x.org/a", "/a/b": "https://e.org/a/b", "c.png": "https://e.org/news/c.png", "mailto:x": None}
+    cases = {"https://x.org/a": "https://x.org/a", "//x.org/a": "https://x.org/a", "/a/b": "https://e.org/a/b", "c.png": "https://e.org/news/c.png", "mailto:x": None, "../c.png": "https://e.org/c.png", "./a/../b/?q=/../x": "https://e.org/news/b/?q=/../x", "../../../z": "https://e.org/z", "a/..": "https://e.org/news/"}
     df = spark.createDataFrame([(k,) for k in cases], "v string").select(T.absolute(F.col("v"), F.lit(base)).alias("o"))
     assert [r.o for r in df.collect()] == list(cases.values())
     dates = ["Tue, 05 Mar 2024 10:20:30 GMT", "5 Mar 2024 10:20:30 +0200", "2024-03-05T10:20:30Z", "soon", None]
