@@ -10,7 +10,9 @@ from pyspark.sql.window import Window
 
 from ledgerline.functions import text as T
 from ledgerline.functions.urls import canonical_url
+from ledgerline.operators.joins import bounded
 from ledgerline.operators.ranking import positions
+from ledgerline.sources.lineage import written
 
 # Patterns by which items are classified; the first category that matches wins.
 PLACES = r"(?i)(?<![A-Za-z0-9_])(?:uae|u\.a\.e\.(?=\w)|emirat\w*|dubai|abu dhabi|sharjah|ajman|fujairah|ras al[- ]khaimah|umm al[- ]quwain|al ain)(?![A-Za-z0-9_])"
@@ -155,7 +157,8 @@ def entity_links(articles: DataFrame, phrases: DataFrame, *, letters: dict[str,
     words = articles.select(F.col("id").alias("article_id"), F.split(F.trim(T.entity_norm(F.col("text"))), " ").alias("w"))
     first = sole.select(F.substring_index("phrase", " ", 1).alias("head"), F.size(F.split("phrase", " ")).alias("n")).distinct()
     # Single words meet the phrases' first words alone; only the few places found go back to their texts.
-    start = words.select("article_id", F.posexplode("w").alias("i", "head")).join(first, "head").select("article_id", "i", "n").distinct()
+    # First words are a dictionary: sent round behind a count, so that no word of a text is shuffled.
+    start = words.select("article_id", F.posexplode("w").alias("i", "head")).join(bounded(written(first, "heads")), "head").select("article_id", "i", "n").distinct()
     runs = start.join(words, "article_id").select("article_id", F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ").alias("phrase")).distinct()
     found = runs.join(sole, "phrase").select("article_id", "entity_type", "entity_id", "label", F.least(F.lit(1.0), F.lit(0.55) + F.least(F.length("phrase"), F.lit(60)) / 120).alias("confidence")).dropDuplicates(["article_id", "entity_type", "entity_id"])
     rank = F.row_number().over(Window.partitionBy("article_id", "entity_type").orderBy("label", "entity_id"))
@@ -223,6 +226,6 @@ def related(articles: DataFrame, n: int = 4) -> DataFrame:
     """
     rank = F.row_number().over(Window.partitionBy("category").orderBy(F.desc_nulls_last("at"), "id"))
     best = articles.select("id", "category", "at").withColumn("k", rank).where(F.col("k") <= n + 1).select("category", F.col("id").alias("other"), "k")
-    met = articles.select("id", "category").join(F.broadcast(best), "category").where("id <> other")  # n + 1 rows a category
+    met = articles.select("id", "category").join(bounded(written(best, "newest")), "category").where("id <> other")
     place = F.row_number().over(Window.partitionBy("id").orderBy("k"))
     return met.withColumn("rank", place).where(F.col("rank") <= n).select("id", "other", "rank")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import dealt, directory_queries, feed_queries, register_queries, view_queries
+from ledgerline.plans import dealt, directory_queries, feed_queries, news_queries, register_queries, view_queries
 
-MODULES = [dealt, register_queries, directory_queries, view_queries, feed_queries]
+MODULES = [dealt, register_queries, directory_queries, view_queries, feed_queries, news_queries]
 FLAGSHIP = directory_queries.facets_self_excluding
 
 

@@ -10,6 +10,7 @@ from ledgerline.functions.text import squeezed
 from ledgerline.functions.urls import canonical_url
 from ledgerline.operators import feed
 from ledgerline.operators import register as R
+from ledgerline.plans.register_queries import _SPLIT
 from ledgerline.sources.tables import once, table
 
 #: The moment that stands for now.
@@ -49,16 +50,29 @@ def duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return feed.duplicate_of(_keys(table(spark, folder, "article_batch")), _keys(table(spark, folder, "article")))
 
 
-def entities(spark: SparkSession, folder: str) -> DataFrame:
-    """[J10, A18] Facilities, specialties of the register and its people of a name that no other has."""
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
     a = once(table(spark, folder, "article"), "id", "title", "excerpt", "content")
+    return a.select("id", F.concat_ws(" ", "title", "excerpt", F.regexp_replace("content", "<[^>]*>", " ")).alias("text"))
+
+
+def _specialties(spark: SparkSession, folder: str) -> DataFrame:
+    return R.active(table(spark, folder, "doctor")).select(R.specialty(squeezed("speciality")).alias("label")).where("length(label) >= 5").distinct()
+
+
+def _names(spark: SparkSession, folder: str) -> DataFrame:
+    """People's names of two words and eight letters at least."""
+    return R.active(table(spark, folder, "doctor")).select("id", F.trim("name").alias("label")).where((F.length("label") >= 8) & F.col("label").rlike(r"\s")).distinct()
+
+
+def entities(spark: SparkSession, folder: str) -> DataFrame:
+    """[J10, A18] Facilities, specialties of the register and its people of a name that no other has; facility names of two words and ten letters at least."""
     f = once(table(spark, folder, "facility"), "id", "nameTrimmed")
     phrases = f.select(F.lit("facility").alias("entity_type"), F.col("id").alias("entity_id"), F.regexp_replace("nameTrimmed", r"(?i)\s+(L\.?L\.?C|L L C|FZ-LLC|Co)\.?(?= |$)", "").alias("label"))
-    d = R.active(table(spark, folder, "doctor"))
-    specialties = d.select(R.specialty(squeezed("speciality")).alias("label")).where("length(label) >= 5").distinct().select(F.lit("specialty").alias("entity_type"), F.col("label").alias("entity_id"), "label")
-    people = d.select(F.lit("doctor").alias("entity_type"), F.col("id").alias("entity_id"), F.trim("name").alias("label")).where((F.length("label") >= 8) & F.col("label").rlike(r"\s")).distinct()
-    texts = a.select("id", F.concat_ws(" ", "title", "excerpt", F.regexp_replace("content", "<[^>]*>", " ")).alias("text"))
-    return feed.entity_links(texts, phrases.union(specialties).union(people), letters={"specialty": 1, "doctor": 1}, shared=("specialty",)).withColumn("confidence", F.round("confidence", 6))
+    phrases = phrases.where((F.length("label") >= 10) & (F.size(F.split(F.trim(F.regexp_replace("label", "[^A-Za-z0-9]+", " ")), " ")) >= 2))
+    specialties = _specialties(spark, folder).select(F.lit("specialty").alias("entity_type"), F.col("label").alias("entity_id"), "label")
+    people = _names(spark, folder).select(F.lit("doctor").alias("entity_type"), F.col("id").alias("entity_id"), "label")
+    found = feed.entity_links(_texts(spark, folder), phrases.union(specialties).union(people), letters={"specialty": 1, "doctor": 1, "facility": 1}, shared=("specialty",))
+    return found.withColumn("confidence", F.round("confidence", 6))
 
 
 def due(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,8 +80,8 @@ def due(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reading_time(spark: SparkSession, folder: str) -> DataFrame:
-    a = once(table(spark, folder, "article"), "id", "content", "excerpt")
-    return a.select("id", T.reading_minutes(F.coalesce("content", "excerpt")).alias("minutes"))
+    a = once(table(spark, folder, "article"), "id", "content", "summary", "excerpt")
+    return a.select("id", T.reading_minutes(F.coalesce("content", "summary", "excerpt")).alias("minutes"))
 
 
 def archive_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,7 +91,7 @@ def archive_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def calendar(spark: SparkSession, folder: str) -> DataFrame:
-    """[P33, A27] Articles since the beginning of the day, week (Monday), month and year of now."""
+    """[P33] Articles since the beginning of the day, week (Monday), month and year of now."""
     now = F.lit(NOW).cast("timestamp")
     one = articles(spark, folder).where(F.col("at") <= now).agg(*[F.count_if(F.col("at") >= F.date_trunc(unit, now)).alias(unit.lower()) for unit in ("DAY", "WEEK", "MONTH", "YEAR")])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("since"), F.col(c).alias("cnt")) for c in ("day", "week", "month", "year")])).alias("x")).select("x.*")
@@ -96,13 +110,13 @@ def related(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rollup(spark: SparkSession, folder: str) -> DataFrame:
-    """[A21, A11] By category, content type and region in one aggregation over grouping sets."""
-    articles(spark, folder).select("category", "contentType", "region").createOrReplaceTempView("ledgerline_rollup")
-    return spark.sql("SELECT category, contentType, region, count(*) AS cnt FROM ledgerline_rollup GROUP BY GROUPING SETS ((category), (contentType), (region))")
+    """[A21] By category, content type and region in one aggregation over grouping sets."""
+    a = articles(spark, folder).select("category", "contentType", "region")
+    return a.groupingSets([["category"], ["contentType"], ["region"]], "category", "contentType", "region").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def status(spark: SparkSession, folder: str) -> DataFrame:
-    """[A20, A23, A24]"""
+    """[A20, A23]"""
     return articles(spark, folder).groupBy("status").agg(F.count(F.lit(1)).alias("cnt"), F.count_distinct("sourceName").alias("sources"), F.max("updatedAt").alias("last_update"))
 
 
@@ -141,6 +155,10 @@ _URL = """CASE WHEN regexp_matches(trim({c}), '(?i)^https?://') THEN lower(regex
 _NORM = "trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), '\\b(" + "|".join(T.TITLE_STOP) + ")\\b', ' ', 'g'), ' +', ' ', 'g'))"
 
 
+def _phrase(c: str) -> str:
+    return _ENT.format(_american(c))
+
+
 def _re(p: str) -> str:
     return "'(?i)\\b(" + p.replace("'", "''") + ")\\b'"
 
@@ -162,6 +180,17 @@ def _american(c: str) -> str:
     return c
 
 
+_SPECIALTIES = f"SELECT DISTINCT specialty AS label FROM ({_SPLIT.replace(' FROM doctor', ' FROM doctor WHERE removedAt IS NULL')}) WHERE len(specialty) >= 5"
+_NAMES = "SELECT DISTINCT id, trim(name) AS label FROM doctor WHERE removedAt IS NULL AND len(trim(name)) >= 8 AND regexp_matches(trim(name), '\\s')"
+_HAY = f"SELECT id AS article_id, text, ' ' || {_phrase('text')} || ' ' AS t FROM (SELECT DISTINCT id, concat_ws(' ', title, excerpt, regexp_replace(content, '<[^>]*>', ' ', 'g')) AS text FROM article)"
+_ENTITIES = f"""WITH f AS (SELECT DISTINCT id AS entity_id, regexp_replace(nameTrimmed, '(?i)\\s+(L\\.?L\\.?C|L L C|FZ-LLC|Co)\\.?( |$)', '\\2', 'g') AS label FROM facility), nm AS ({_NAMES}), spc AS ({_SPECIALTIES}),
+p AS (SELECT 'facility' AS entity_type, entity_id, label, {_phrase('label')} AS phrase FROM f WHERE len(label) >= 10 AND len(string_split(trim(regexp_replace(label, '[^A-Za-z0-9]+', ' ', 'g')), ' ')) >= 2 UNION ALL SELECT 'doctor', id, label, {_phrase('label')} FROM nm),
+q AS (SELECT entity_type, phrase, min(entity_id) AS entity_id, min(label) AS label FROM p WHERE phrase <> '' GROUP BY 1, 2 HAVING count(DISTINCT entity_id) = 1 UNION ALL SELECT 'specialty', {_phrase('label')}, label, label FROM spc),
+hay AS ({_HAY}),
+m AS (SELECT article_id, entity_type, entity_id, label, round(least(1.0, 0.55 + least(len(phrase), 60) / 120.0), 6) AS confidence, row_number() OVER (PARTITION BY article_id, entity_type ORDER BY label, entity_id) AS n FROM hay JOIN q ON contains(t, ' ' || phrase || ' ')),
+ents AS (SELECT * FROM m WHERE n <= 8)
+"""
+
 QUERIES = {
     f"feed_{f.__name__}": f
     for f in (canonical, titles, categories, duplicates, entities, due, reading_time, archive_counts, calendar, pages, featured, related, rollup, status, tags, sitemap, plain_text, view_gate, json_fields)
@@ -171,7 +200,9 @@ SQL = {
     "feed_titles": f"WITH n AS (SELECT DISTINCT id, excerpt, {_NORM} AS nt FROM article), w AS (SELECT *, list_distinct(list_filter(string_split(nt, ' '), lambda x: len(x) > 3)) AS ws FROM n), k AS (SELECT *, array_to_string(list_sort(list_transform(list_sort(list_transform(ws, lambda x: lpad(CAST(1000 - len(x) AS VARCHAR), 4, '0') || x))[1:5], lambda x: substr(x, 5))), ' ') AS k FROM w) SELECT id, nt AS normalized_title, CASE WHEN len(ws) > 0 THEN substr(sha256(k), 1, 16) END AS story_key, sha256(nt || chr(1) || substr(coalesce(excerpt, ''), 1, 400)) AS content_hash FROM k",
     "feed_categories": f"WITH s AS (SELECT DISTINCT id AS sid, region, defaultCategory FROM feed_source), t AS (SELECT DISTINCT a.id, concat_ws(' ', title, excerpt) AS t, region, defaultCategory FROM (SELECT DISTINCT id, title, excerpt, sourceId FROM article) a LEFT JOIN s ON s.sid = a.sourceId), c AS (SELECT id, {_CATEGORY} AS c, {_LOCAL} AS l, regexp_matches(t, {_re(feed.CLINICAL)}) AS clinical, regexp_matches(t, {_re(feed.RESEARCH)}) AS r, regexp_matches(t, {_re(feed.BREAKING)}) AS b, region FROM t) SELECT id, CASE WHEN l AND c IN ('medical-news', 'doctors-and-clinics', 'health-and-wellness') THEN 'uae-healthcare-news' ELSE c END AS category, CASE WHEN clinical THEN 'medical' WHEN r THEN 'research' WHEN b THEN 'breaking-news' ELSE 'news' END AS content_type, CASE WHEN l THEN 'uae' WHEN region = 'gcc' THEN 'gcc' ELSE 'global' END AS item_region, clinical FROM c",
     "feed_duplicates": f"WITH n AS ({_KEYS.format(url=_URL.format(c='canonicalUrl'), t='article_batch')}), o AS ({_KEYS.format(url=_URL.format(c='canonicalUrl'), t='article')}), h AS (SELECT n.id, 1 AS rank, min(o.id) AS duplicate_of, 'canonical_url' AS reason FROM n JOIN o ON n.url = o.url GROUP BY n.id UNION ALL SELECT n.id, 2, min(o.id), 'source_hash' FROM n JOIN o ON n.sourceHash = o.sourceHash GROUP BY n.id UNION ALL SELECT n.id, 3, min(o.id), 'content_hash' FROM n JOIN o ON n.contentHash = o.contentHash GROUP BY n.id UNION ALL SELECT n.id, 4, min(o.id), 'normalized_title' FROM n JOIN o ON n.normalizedTitle = o.normalizedTitle AND n.normalizedTitle <> '' AND abs(epoch_us(n.at) - epoch_us(o.at)) < 86400000000 GROUP BY n.id UNION ALL SELECT n.id, 5, min(o.id), 'same_story' FROM n JOIN o ON n.simHash = o.simHash AND n.simHash <> '' AND n.sourceId <> o.sourceId AND abs(epoch_us(n.at) - epoch_us(o.at)) < 172800000000 GROUP BY n.id) SELECT id, duplicate_of, reason FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank) AS k FROM h) WHERE k = 1",
-    "feed_entities": f"WITH f AS (SELECT DISTINCT id AS entity_id, regexp_replace(nameTrimmed, '(?i)\\s+(L\\.?L\\.?C|L L C|FZ-LLC|Co)\\.?( |$)', '\\2', 'g') AS label FROM facility), p AS (SELECT entity_id, label, {_ENT.format(_american('label'))} AS phrase FROM f), q AS (SELECT phrase, min(entity_id) AS entity_id, min(label) AS label FROM p WHERE len(phrase) >= 8 AND len(string_split(phrase, ' ')) <= 6 GROUP BY phrase HAVING count(DISTINCT entity_id) = 1), a AS (SELECT id AS article_id, ' ' || {_ENT.format(_american("concat_ws(' ', title, excerpt, regexp_replace(content, '<[^>]*>', ' ', 'g'))"))} || ' ' AS t FROM (SELECT DISTINCT id, title, excerpt, content FROM article)), m AS (SELECT article_id, 'facility' AS entity_type, entity_id, label, round(least(1.0, 0.55 + least(len(phrase), 60) / 120.0), 6) AS confidence, row_number() OVER (PARTITION BY article_id ORDER BY label, entity_id) AS n FROM a JOIN q ON contains(t, ' ' || phrase || ' ')) SELECT article_id, entity_type, entity_id, label, CAST(confidence AS DOUBLE) AS confidence FROM m WHERE n <= 8",
+    "feed_entities": _ENTITIES + "SELECT article_id, entity_type, entity_id, label, CAST(confidence AS DOUBLE) AS confidence FROM ents",
+    "feed_reading_time": "WITH a AS (SELECT DISTINCT id, coalesce(content, summary, excerpt) AS t FROM article), w AS (SELECT id, len(list_filter(string_split(trim(regexp_replace(regexp_replace(replace(replace(replace(coalesce(t, ''), '&nbsp;', ' '), '&amp;', '&'), '&quot;', '\"'), '<[^>]*>', ' ', 'g'), '[\\s\u00a0]+', ' ', 'g')), ' '), lambda x: x <> '')) AS n FROM a) SELECT id, CASE WHEN n >= 40 THEN CAST(greatest(1, floor(n / 225.0 + 0.5)) AS INTEGER) END AS minutes FROM w",
+    "feed_view_gate": "WITH RECURSIVE e AS (SELECT event_type AS slug, user_id AS client, ts, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts) AS n FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL), g AS (SELECT slug, client, n, ts AS last, true AS counts, ts FROM e WHERE n = 1 UNION ALL SELECT e.slug, e.client, e.n, CASE WHEN e.ts - g.last > INTERVAL 12 HOURS THEN e.ts ELSE g.last END, e.ts - g.last > INTERVAL 12 HOURS, e.ts FROM g JOIN e ON e.slug = g.slug AND e.client = g.client AND e.n = g.n + 1) SELECT slug, count(*) AS views, min(ts) AS first_view, max(ts) AS last_view FROM g WHERE counts GROUP BY 1",
     "feed_due": f"SELECT id FROM feed_source WHERE enabled AND NOT coalesce(requiresConfig, false) AND feedUrl IS NOT NULL AND (lastCheckedAt IS NULL OR floor(epoch(TIMESTAMPTZ '{NOW}+00')) - floor(epoch(lastCheckedAt)) >= least(scheduleMinutes * 60 * pow(2, least(coalesce(consecutiveFailures, 0), 6)), 86400))",
     "feed_archive_counts": _A + f"SELECT category, count(*) AS cnt FROM x WHERE contentType = 'news' AND placed >= TIMESTAMPTZ '2025-01-01 00:00:00+00' AND contains(lower(concat_ws(' ', title, summary, sourceName, category)), 'clinic') GROUP BY 1",
     "feed_calendar": _A + f", n AS (SELECT placed FROM x WHERE placed <= TIMESTAMPTZ '{NOW}+00') SELECT unnest(['day', 'week', 'month', 'year']) AS since, unnest([count(*) FILTER (WHERE placed >= TIMESTAMPTZ '2025-06-30 00:00:00+00'), count(*) FILTER (WHERE placed >= TIMESTAMPTZ '2025-06-30 00:00:00+00'), count(*) FILTER (WHERE placed >= TIMESTAMPTZ '2025-06-01 00:00:00+00'), count(*) FILTER (WHERE placed >= TIMESTAMPTZ '2025-01-01 00:00:00+00')]) AS cnt FROM n",
