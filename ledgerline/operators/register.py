@@ -89,10 +89,19 @@ def facility_positions(facilities: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def unique_slugs(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """[P6, W1] df with `slug`: the second of equal slugs gets -2 and so on, in the given order."""
+    """[P6, W1] df with `slug`: the second of equal slugs gets -2 and so on, in the given order, past the numbers that other names have by nature, so no two are equal."""
     base = df.withColumn("_slug", slug(F.col(name)))
     n = F.row_number().over(Window.partitionBy("_slug").orderBy(*order))
-    return base.withColumn("slug", F.when(n == 1, F.col("_slug")).otherwise(F.concat("_slug", F.lit("-"), n.cast("string")))).drop("_slug")
+    rows = base.withColumn("_n", n)
+    # Names that end in a number take it away from the name before it.
+    ends = rows.where("_n = 1").select(F.regexp_extract("_slug", r"^(.+)-([0-9]{1,9})$", 1).alias("_slug"), F.regexp_extract("_slug", r"^(.+)-([1-9][0-9]{0,8})$", 2).try_cast("int").alias("_taken")).where("_taken >= 2")
+    ends = ends.withColumn("_at", F.col("_taken") - F.row_number().over(Window.partitionBy("_slug").orderBy("_taken")) + 1).groupBy("_slug", "_at").agg(F.count(F.lit(1)).alias("_k"))
+    wanted = rows.withColumnsRenamed({"_n": "_at"}).withColumn("_k", F.lit(0).cast("long")).withColumn("_row", F.lit(True))
+    every = wanted.unionByName(ends.withColumn("_row", F.lit(False)), allowMissingColumns=True)
+    shift = F.sum("_k").over(Window.partitionBy("_slug").orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, 0))
+    number = F.when(F.col("_at") > 1, F.col("_at") + F.col("_shift"))
+    out = every.withColumn("_shift", shift).where("_row")
+    return out.withColumn("slug", F.concat("_slug", F.coalesce(F.concat(F.lit("-"), number.cast("string")), F.lit("")))).select(*df.columns, "slug")
 
 
 def licence_names(doctors: DataFrame, licences: DataFrame) -> DataFrame:
@@ -104,14 +113,19 @@ def licence_names(doctors: DataFrame, licences: DataFrame) -> DataFrame:
     return joined.select("id", F.when(F.size(F.coalesce("members", F.array())) > 0, F.col("members")).when(scalar.isNotNull(), F.array(F.coalesce(F.try_element_at(long, scalar), scalar))).otherwise(F.array().cast("array<string>")).alias("licence_types"))
 
 
-def static_facets(doctors: DataFrame, licences: DataFrame) -> DataFrame:
-    """[A5] (facet, label, cnt) over active people: one explode, one aggregation."""
-    people = active(doctors).select("id", squeezed("speciality").alias("s"), blank_to_null(F.col("nationality")).alias("nationality")).distinct()
+def static_facets(doctors: DataFrame, licences: DataFrame, link: DataFrame | None = None, facilities: DataFrame | None = None) -> DataFrame:
+    """[A5] (facet, label, cnt) over active people; with links and facilities (facility_id, facility, type) also where they work now, once for each place and for each kind of place."""
+    people = active(doctors).select("id", squeezed("speciality").alias("s"), blank_to_null(F.col("nationality")).alias("nationality"), "languages").distinct()
     held = licence_names(doctors, licences)
     one = lambda facet, c: F.struct(F.lit(facet).alias("facet"), c.alias("label"))
-    scalars = people.select(F.explode(F.array(one("category", F.nullif(category(F.col("s")), F.lit(""))), one("specialty", specialty(F.col("s"))), one("nationality", F.col("nationality")))).alias("x")).select("x.*")
-    lists = held.select(F.lit("licence").alias("facet"), F.explode("licence_types").alias("label"))
-    return scalars.union(lists).where("label IS NOT NULL").groupBy("facet", "label").agg(F.count(F.lit(1)).alias("cnt"))
+    spoken = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(squeezed("languages"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
+    scalars = F.array(one("category", F.nullif(category(F.col("s")), F.lit(""))), one("specialty", specialty(F.col("s"))), one("nationality", F.col("nationality")))
+    out = people.select(F.explode(F.concat(scalars, F.transform(spoken, lambda x: one("language", x)))).alias("x")).select("x.*")
+    out = out.union(held.select(F.lit("licence").alias("facet"), F.explode("licence_types").alias("label")))
+    if link is not None and facilities is not None:
+        at = link.where("is_current").select("doctor_id", "facility_id").join(facilities.select("facility_id", "facility", "type").dropDuplicates(["facility_id"]), "facility_id")
+        out = out.union(at.select(F.lit("facility"), "facility")).union(at.where("type IS NOT NULL").select("doctor_id", "type").distinct().select(F.lit("facility_type"), "type"))
+    return out.where("label IS NOT NULL").groupBy("facet", "label").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def top_specialties(link: DataFrame, doctors: DataFrame, n: int = 3) -> DataFrame:
@@ -134,15 +148,38 @@ def opening_hours(c: Column) -> Column:
     return F.when(F.size(rows) > 0, rows)
 
 
-_DATES = r"^(.*?\d{4})\s+-\s+(Present|.*?\d{4})(?:\s*\(([^)]*)\))?$"
-_LICENCE = r"(?i)^License:\s*(.+)$"
+# How parts of profile entries are told apart.
+_DATES = r"(?i)^(\d{1,2}\s+[A-Za-z]+\s+\d{4})\s*-\s*(\d{1,2}\s+[A-Za-z]+\s+\d{4}|Present|Current)\s*(?:\(([^)]*)\))?$"
+_LICENCE = r"(?i)^Licen[cs]e\s*:\s*(.+)$"
+_PRESENT = r"(?i)\s*\((?:Present|Current)\)\s*$"
+_GRADUATED = r"(?i)^Graduated\s+(\d{4})$"
+_VERIFIED = r"(?i)\s*\(([^)]*verified[^)]*)\)\s*$"
+_LEVEL = r"(?i)^(?:pre[- ]?university|higher secondary|secondary|high school|intermediate|matriculation|primary|foundation)$"
+_INSTITUTION = (
+    r"(?i)(?<![A-Za-z0-9_])(?:universit(?:y|e|ies|à|ä|é)|univ|college|colleges|institute|institutes|institut|school|schools|academy|faculty|hospital|board|council|society|royal college|department|directorate|"
+    r"centre|center|polytechnic|seminary|conservatory|escuela|escola|universidad|universidade|universita|universitas|universitat|universite)(?![A-Za-z0-9_])"
+)
+_QUALIFICATION = (
+    r"(?i)(?<![A-Za-z0-9_])(?:diploma|diplome|certificate|certification|certified|degree|bachelor|bachelors|master|masters|doctorate|doctoral|doctor of|fellowship|membership|residency|internship|licentiate|associate|"
+    r"higher secondary|pre[- ]?university|post[- ]?graduate|postgraduate|undergraduate|specialization|specialisation|m\.?b\.?b\.?s|b\.?d\.?s|m\.?d\.?s|m\.?d|m\.?sc|b\.?sc|m\.?s|b\.?s|b\.?a|m\.?a|m\.?ph|d\.?d\.?s|"
+    r"d\.?m\.?d|ph\.?d|pharm\.?d|b\.?pharm|m\.?pharm|d\.?n\.?b|f\.?r\.?c\.?[a-z]|m\.?r\.?c\.?[a-z]|d\.?c\.?h|b\.?p\.?t|m\.?p\.?t|dip)(?![A-Za-z0-9_])"
+)
+
+
+def _parts(entry: Column) -> Column:
+    return F.filter(F.transform(F.split(entry, "·"), lambda x: F.trim(x)), lambda p: p != "")
+
+
+def _entries(c: Column) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(squeezed(c), F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def experience(c: Column) -> Column:
     """Array of work entries. Parts are known by their form (licence number, range of dates); of the others the first is the title, and
-    with three or more the second is the facility and the last the place; a second of two is the facility if there is a licence, else the place."""
+    with three or more the second is the facility and the last the place; a second of two is the facility if there is a licence, else the place. An entry that ends
+    in "(Present)" is current."""
     def entry(e: Column) -> Column:
-        parts = F.filter(F.transform(F.split(e, " · "), lambda x: F.trim(x)), lambda p: p != "")
+        parts = _parts(F.regexp_replace(e, _PRESENT, ""))
         lic, dates = F.filter(parts, lambda p: p.rlike(_LICENCE)), F.filter(parts, lambda p: p.rlike(_DATES))
         rest = F.filter(parts, lambda p: ~p.rlike(_LICENCE) & ~p.rlike(_DATES))
         n, date = F.size(rest), F.get(dates, F.lit(0))
@@ -151,35 +188,40 @@ def experience(c: Column) -> Column:
         return F.struct(
             F.get(rest, F.lit(0)).alias("title"),
             F.when((n > 2) | ((n == 2) & (F.size(lic) > 0)), second).alias("facility"),
-            F.when(n > 2, F.element_at(rest, -1)).when((n == 2) & (F.size(lic) == 0), second).alias("place"),
+            F.when(n > 2, F.get(rest, F.size(rest) - 1)).when((n == 2) & (F.size(lic) == 0), second).alias("place"),
             F.regexp_extract(F.get(lic, F.lit(0)), _LICENCE, 1).alias("licence_number"),
-            part(1).alias("start"), part(2).alias("end"), part(3).alias("duration"),
+            part(1).alias("start"), part(2).alias("end"), part(3).alias("duration"), e.rlike(_PRESENT).alias("is_current"),
         )
-    entries = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.transform(entries, entry)
+    return F.transform(_entries(c), entry)
 
 
 def education(c: Column) -> Column:
-    """Array of education entries: qualification, institution, graduated (year), country, city, verification."""
+    """Array of education entries: qualification, institution, heading, graduated (year), country, location, verification, extra.
+
+    With three values and more the first is the qualification, the second the institution, the last the place and the rest extra. Of two the first is an institution, a
+    qualification or, where neither is told by its words, a heading, and the second the place. A single one is an institution or a place.
+    """
     def entry(e: Column) -> Column:
-        parts = F.filter(F.transform(F.split(e, " · "), lambda x: F.trim(x)), lambda p: p != "")
-        year = r"(?i)^Graduated\s+(\d{4})$"
-        graduated = F.filter(parts, lambda p: p.rlike(year))
-        rest = F.filter(parts, lambda p: ~p.rlike(year))
-        school = F.filter(rest, lambda p: p.rlike(r"(?i)\b(university|college|institute|school|academy)\b"))
-        place = F.when(F.size(rest) > 1, F.element_at(rest, -1))
-        place = F.when(F.array_contains(school, place), None).otherwise(place)
-        bare = F.regexp_replace(place, r"\s*\([^)]*\)\s*$", "")
+        parts = _parts(e)
+        graduated = F.filter(parts, lambda p: p.rlike(_GRADUATED))
+        rest = F.filter(parts, lambda p: ~p.rlike(_GRADUATED))
+        n, first = F.size(rest), F.get(rest, F.lit(0))
+        school = first.rlike(_INSTITUTION) & ~first.rlike(_LEVEL)
+        degree = ~school & (first.rlike(_LEVEL) | first.rlike(_QUALIFICATION))
+        place = F.when((n > 1) | ((n == 1) & ~school), F.get(rest, F.size(rest) - 1))
+        bare = F.nullif(F.trim(F.regexp_replace(place, _VERIFIED, "")), F.lit(""))
+        split = bare.rlike(r"^[^,]+,\s*.+$")
         return F.struct(
-            F.when(~F.array_contains(school, F.get(rest, F.lit(0))), F.get(rest, F.lit(0))).alias("qualification"),
-            F.get(school, F.lit(0)).alias("institution"),
-            F.regexp_extract(F.get(graduated, F.lit(0)), year, 1).alias("graduated"),
-            F.nullif(F.trim(F.substring_index(bare, ",", 1)), F.lit("")).alias("country"),
-            F.when(F.contains(bare, F.lit(",")), F.trim(F.regexp_extract(bare, r",\s*(.*)$", 1))).alias("city"),
-            F.nullif(F.regexp_extract(place, r"\(([^)]*)\)\s*$", 1), F.lit("")).alias("verification"),
+            F.when((n > 2) | ((n == 2) & degree), first).alias("qualification"),
+            F.when(n > 2, F.get(rest, F.lit(1))).when((n > 0) & school, first).alias("institution"),
+            F.when((n == 2) & ~school & ~degree, first).alias("heading"),
+            F.regexp_extract(F.get(graduated, F.size(graduated) - 1), _GRADUATED, 1).alias("graduated"),
+            F.when(split, F.trim(F.regexp_extract(bare, r"^([^,]+),\s*(.+)$", 1))).alias("country"),
+            F.when(split, F.trim(F.regexp_extract(bare, r"^([^,]+),\s*(.+)$", 2))).otherwise(bare).alias("location"),
+            F.nullif(F.trim(F.regexp_extract(place, _VERIFIED, 1)), F.lit("")).alias("verification"),
+            F.when(n > 3, F.slice(rest, 3, F.greatest(n - 3, F.lit(0)))).otherwise(F.array().cast("array<string>")).alias("extra"),
         )
-    entries = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.transform(entries, entry)
+    return F.transform(_entries(c), entry)
 
 
 def resolved_by_unique_name(names: DataFrame, key: str, value: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import shard, squeezed
+from ledgerline.functions.text import COMPANY_WORDS, FACILITY_SPELLINGS, shard, squeezed
 from ledgerline.operators import classify, quality
 from ledgerline.operators import register as R
 from ledgerline.sources.lineage import written
@@ -39,7 +39,8 @@ def category_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def static_facets(spark: SparkSession, folder: str) -> DataFrame:
-    return R.static_facets(table(spark, folder, "doctor"), table(spark, folder, "doctor_licence_type"))
+    f = once(table(spark, folder, "facility"), "id", "nameTrimmed", "typeGuess").select(F.col("id").alias("facility_id"), F.col("nameTrimmed").alias("facility"), F.col("typeGuess").alias("type"))
+    return R.static_facets(table(spark, folder, "doctor"), table(spark, folder, "doctor_licence_type"), _links(spark, folder), f)
 
 
 def slug_ordinals(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,22 +116,35 @@ def past_only(spark: SparkSession, folder: str) -> DataFrame:
     return _links(spark, folder).where("is_past").groupBy("doctor_id").agg(F.count(F.lit(1)).alias("past_facilities"), F.min("facility_id").alias("first_id"))
 
 
-def facility_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    """[A10, A11, C1]"""
+def _kinds(spark: SparkSession, folder: str) -> DataFrame:
     people = R.active(table(spark, folder, "doctor")).select(F.col("id").alias("doctor_id"), R.specialty(squeezed("speciality")).alias("specialty")).distinct()
     f = once(table(spark, folder, "facility"), "id", "nameTrimmed", "typeGuess").select(F.col("id").alias("facility_id"), F.col("nameTrimmed").alias("name"), F.col("typeGuess").alias("guess"))
     return classify.facility_types(f, classify.staff_tally(_links(spark, folder), people))
 
 
+def facility_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """[A10, C1]"""
+    return _kinds(spark, folder)
+
+
+def kind_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """[A11]"""
+    return classify.type_statistics(_kinds(spark, folder))
+
+
 def quality_checks(spark: SparkSession, folder: str) -> DataFrame:
-    """[V1-V42] The register as built from these tables, checked against them."""
+    """[V1-V42] What the builders make of these tables (the directory's people, classified facilities, links, totals), checked against the tables."""
+    from ledgerline.operators import directory
+
     source = {t: table(spark, folder, t) for t in ("doctor", "facility", "doctor_facility", "doctor_licence_type")}
     link = written(_links(spark, folder), "links")
-    doctor = R.active(source["doctor"]).distinct()
-    profiles = doctor.select("id", F.size(R.experience(F.col("experience"))).alias("work"), F.size(R.education(F.col("education"))).alias("education"))
-    facilities = source["facility"].select(F.col("id").alias("facility_id"), F.col("typeGuess").alias("type")).distinct()
-    licences = R.licence_names(source["doctor"], source["doctor_licence_type"])
-    return quality.checks(doctor.select("id"), facilities, link, R.facility_counts(link), licences, static_facets(spark, folder), profiles, source | {"doctor_facility": source["doctor_facility"].distinct()})
+    people = written(directory.professionals(source["doctor"], source["doctor_facility"], source["facility"], source["doctor_licence_type"]).select("id", "specialty"), "people")
+    profiles = R.active(source["doctor"]).distinct().select("id", F.size(R.experience(F.col("experience"))).alias("work"), F.size(R.education(F.col("education"))).alias("education"))
+    kinds = written(_kinds(spark, folder), "kinds")
+    licences = written(R.licence_names(source["doctor"], source["doctor_licence_type"]), "licences")
+    f = kinds.join(once(source["facility"], "id", "nameTrimmed").select(F.col("id").alias("facility_id"), F.col("nameTrimmed").alias("facility")), "facility_id")
+    facets = R.static_facets(source["doctor"], source["doctor_licence_type"], link, f)
+    return quality.checks(people, kinds, link, R.facility_counts(link), licences, facets, profiles, source | {"doctor_facility": source["doctor_facility"].distinct()}, totals(spark, folder))
 
 
 _SQUEEZE = "trim(regexp_replace(speciality, '\\s+', ' ', 'g'))"
@@ -160,17 +174,41 @@ FROM doctor d LEFT JOIN m ON m.id = d.id WHERE d.removedAt IS NULL)
 """
 _ENTRIES = "list_filter(list_transform(string_split(coalesce({}, ''), '|'), lambda x: trim(x)), lambda x: x <> '')"
 
+_RULES = " ".join(f"WHEN regexp_matches(w, '(^| )({p})( |$)') THEN '{t}'" for t, p in classify.NAME_RULES)
+_WORDS = "string_split(regexp_replace(trim(regexp_replace(strip_accents(lower(coalesce(nameTrimmed, ''))), '[^a-z0-9]+', ' ', 'g')), '\\b([a-z]) ([a-z]) ([a-z])\\b', '\\1\\2\\3', 'g'), ' ')"
+_UNIFIED = "list_transform(" + _WORDS + ", lambda x: CASE x " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in FACILITY_SPELLINGS.items()) + " ELSE x END)"
+_TELLING = f"list_filter({_UNIFIED}, lambda x: NOT list_contains([" + ", ".join(f"'{w}'" for w in COMPANY_WORDS) + "], x))"
+_SHARES = " ".join(f"WHEN coalesce(sum(cnt) FILTER (WHERE regexp_matches(specialty, '(?i){p}')), 0) / sum(cnt) >= {share} THEN '{t}'" for t, share, p in classify.STAFF_RULES)
+_DAYS = "[" + ", ".join(f"'{d}'" for d in R.DAYS) + "]"
+_HOUR = "CASE WHEN CAST({h} AS INTEGER) IN (0, 24) THEN '12 AM' WHEN CAST({h} AS INTEGER) = 12 THEN '12 PM' WHEN CAST({h} AS INTEGER) > 12 THEN (CAST({h} AS INTEGER) - 12) || ' PM' ELSE CAST({h} AS INTEGER) || ' AM' END"
+_EDU = f"SELECT id, unnest({_ENTRIES.format('education')}) AS e FROM (SELECT DISTINCT id, trim(regexp_replace(education, '\\s+', ' ', 'g')) AS education FROM doctor)"
+_PARTS = "list_filter(list_transform(string_split({e}, '·'), lambda x: trim(x)), lambda x: x <> '')"
+_JS = lambda p: p.replace("(?<![A-Za-z0-9_])", "\\b").replace("(?![A-Za-z0-9_])", "\\b")
+_EDUCATION = f"""WITH e AS ({_EDU}), q AS (SELECT id, list_filter({_PARTS.format(e='e')}, lambda p: NOT regexp_matches(p, '{R._GRADUATED}')) AS r, list_filter({_PARTS.format(e='e')}, lambda p: regexp_matches(p, '{R._GRADUATED}')) AS g FROM e),
+k AS (SELECT id, r, len(r) AS n, regexp_extract(g[len(g)], '{R._GRADUATED}', 1) AS graduated, regexp_matches(r[1], '{_JS(R._INSTITUTION)}') AND NOT regexp_matches(r[1], '{R._LEVEL}') AS school FROM q)
+"""
+
 QUERIES = {
     f"register_{f.__name__}": f
-    for f in (links, facility_counts, top_specialties, licence_names, category_split, static_facets, slug_ordinals, lifecycle, unique_facility_names, profile_totals, education_years, opening_hours, type_rollup, totals, shards, printed_keys, past_only, facility_kinds, quality_checks)
+    for f in (links, facility_counts, top_specialties, licence_names, category_split, static_facets, slug_ordinals, lifecycle, unique_facility_names, profile_totals, education_years, opening_hours, type_rollup, totals, shards, printed_keys, past_only, facility_kinds, kind_statistics, quality_checks)
 }
+_KINDS = _LINKS + f""", fw AS (SELECT DISTINCT id AS facility_id, lower(typeGuess) AS g, array_to_string(CASE WHEN len({_TELLING}) > 0 THEN {_TELLING} ELSE {_UNIFIED} END, ' ') AS w FROM facility),
+ta AS (SELECT facility_id, specialty, count(*) AS cnt FROM l JOIN sp ON sp.id = l.doctor_id WHERE is_current AND specialty IS NOT NULL GROUP BY 1, 2), st AS (SELECT facility_id, CASE {_SHARES} ELSE 'center' END AS s FROM ta GROUP BY 1),
+kd AS (SELECT fw.facility_id, CASE {_RULES} END AS n, CASE WHEN g IN ({", ".join(f"'{x}'" for x in classify.GUESSES)}) THEN g END AS g, s FROM fw LEFT JOIN st USING (facility_id)),
+kinds AS (SELECT facility_id, coalesce(n, g, s, 'other') AS type, CASE WHEN n IS NOT NULL THEN 'name' WHEN g IS NOT NULL THEN 'dha_type' WHEN s IS NOT NULL THEN 'staff' ELSE 'unclassified' END AS type_source FROM kd)
+"""
 SQL = {
+    "register_facility_kinds": _KINDS + "SELECT * FROM kinds",
+    "register_kind_statistics": _KINDS + "SELECT type, type_source, count(*) AS facilities FROM kinds GROUP BY GROUPING SETS ((type), (type_source))",
+    "register_education_years": _EDUCATION + "SELECT institution, graduated, count(*) AS cnt FROM (SELECT CASE WHEN n > 2 THEN r[2] WHEN school THEN r[1] END AS institution, graduated FROM k) WHERE graduated <> '' GROUP BY 1, 2",
+    "register_opening_hours": f"WITH f AS (SELECT DISTINCT id, CAST(operatingHours AS JSON) AS j FROM facility WHERE json_valid(operatingHours)), d AS (SELECT id, day, json_extract(j, '$.' || day) AS o FROM f, (SELECT unnest({_DAYS}) AS day)), s AS (SELECT id, day, o, list_filter(list_transform(CAST(json_extract(o, '$.timeIntervals') AS JSON[]), lambda x: {_HOUR.format(h="json_extract_string(x, '$.StartDropDown')")} || ' – ' || {_HOUR.format(h="json_extract_string(x, '$.EndDropDown')")}), lambda x: x IS NOT NULL) AS spans FROM d), t AS (SELECT id, day, CASE WHEN lower(json_extract_string(o, '$.is24Hours')) = 'true' THEN '24 hours' WHEN lower(json_extract_string(o, '$.isClosed')) = 'true' THEN 'Closed' WHEN len(spans) > 0 THEN array_to_string(spans, ', ') END AS label FROM s) SELECT * FROM t WHERE label IS NOT NULL",
+    "register_unique_facility_names": f"WITH w AS (SELECT id, {_ENTRIES.format('experience')} AS es FROM (SELECT DISTINCT id, trim(regexp_replace(experience, '\\s+', ' ', 'g')) AS experience FROM doctor)), x AS (SELECT id, unnest(range(len(es))) AS pos, unnest(es) AS e FROM w), y AS (SELECT id, pos, {_PARTS.format(e="regexp_replace(e, '" + R._PRESENT + "', '')")} AS ps FROM x), z AS (SELECT id, pos, list_filter(ps, lambda p: NOT regexp_matches(p, '{R._LICENCE}') AND NOT regexp_matches(p, '{R._DATES}')) AS r, len(list_filter(ps, lambda p: regexp_matches(p, '{R._LICENCE}'))) AS lic FROM y), u AS (SELECT lower(trim(nameTrimmed)) AS key, min(id) AS fid FROM (SELECT DISTINCT id, nameTrimmed FROM facility) GROUP BY 1 HAVING count(DISTINCT id) = 1) SELECT z.id AS doctor_id, CAST(pos AS INTEGER) AS pos, fid AS facility_id FROM z JOIN u ON u.key = lower(trim(CASE WHEN len(r) > 1 THEN r[2] END))",
     "register_links": _LINKS + "SELECT * FROM l",
     "register_facility_counts": _LINKS + f", c AS ({_COUNTS}), f AS (SELECT DISTINCT id AS facility_id, nameTrimmed FROM facility) SELECT f.facility_id, nameTrimmed, coalesce(all_count, 0) AS all_count, coalesce(doctor_count, 0) AS doctor_count, coalesce(primary_count, 0) AS primary_count, coalesce(licensed_count, 0) AS licensed_count, row_number() OVER (ORDER BY coalesce(all_count, 0) DESC, nameTrimmed, f.facility_id) AS facility_pos FROM f LEFT JOIN c USING (facility_id)",
     "register_top_specialties": _LINKS + "SELECT * FROM (SELECT facility_id, specialty, count(*) AS cnt, row_number() OVER (PARTITION BY facility_id ORDER BY count(*) DESC, specialty) AS rank FROM l JOIN sp ON sp.id = l.doctor_id WHERE is_current AND specialty IS NOT NULL GROUP BY 1, 2) WHERE rank <= 3",
     "register_licence_names": _LICENCES + "SELECT id, licence_types FROM t",
     "register_category_split": f"SELECT id, category, specialty FROM ({_SPLIT})",
-    "register_static_facets": _LICENCES + f", sp AS ({_SPLIT}), a AS (SELECT DISTINCT id, nullif(trim(nationality), '') AS nationality FROM doctor WHERE removedAt IS NULL) SELECT facet, label, count(*) AS cnt FROM (SELECT 'category' AS facet, nullif(category, '') AS label FROM sp JOIN a USING (id) UNION ALL SELECT 'specialty', specialty FROM sp JOIN a USING (id) UNION ALL SELECT 'nationality', nationality FROM a UNION ALL SELECT 'licence', unnest(string_split(licence_types, '|')) FROM t WHERE licence_types <> '') WHERE label IS NOT NULL GROUP BY 1, 2",
+    "register_static_facets": _LINKS + ", " + _LICENCES.replace("WITH m AS", "m AS") + f", fx AS (SELECT DISTINCT id, nameTrimmed, typeGuess FROM facility), a AS (SELECT DISTINCT id, nullif(trim(nationality), '') AS nationality FROM doctor WHERE removedAt IS NULL) SELECT facet, label, count(*) AS cnt FROM (SELECT 'category' AS facet, nullif(category, '') AS label FROM sp JOIN a USING (id) UNION ALL SELECT 'specialty', specialty FROM sp JOIN a USING (id) UNION ALL SELECT 'nationality', nationality FROM a UNION ALL SELECT 'language', unnest(list_distinct(list_filter(list_transform(string_split(trim(regexp_replace(languages, '\\s+', ' ', 'g')), ','), lambda x: trim(x)), lambda x: x <> ''))) FROM (SELECT DISTINCT id, languages FROM doctor WHERE removedAt IS NULL) UNION ALL SELECT 'facility', nameTrimmed FROM l JOIN fx ON fx.id = l.facility_id WHERE is_current UNION ALL SELECT 'facility_type', typeGuess FROM (SELECT DISTINCT doctor_id, typeGuess FROM l JOIN fx ON fx.id = l.facility_id WHERE is_current) UNION ALL SELECT 'licence', unnest(string_split(licence_types, '|')) FROM t WHERE licence_types <> '') WHERE label IS NOT NULL GROUP BY 1, 2",
     "register_slug_ordinals": "WITH s AS (SELECT id, trim(regexp_replace(strip_accents(lower(regexp_extract(name, '^\\s*(\\S+)', 1))), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM (SELECT DISTINCT id, name FROM doctor WHERE name IS NOT NULL)) SELECT id, CASE WHEN row_number() OVER (PARTITION BY s ORDER BY id) = 1 THEN s ELSE s || '-' || row_number() OVER (PARTITION BY s ORDER BY id) END AS slug FROM s",
     "register_lifecycle": "SELECT 'placements of active people' AS what, count(*) AS n FROM (SELECT DISTINCT * FROM doctor_facility) WHERE doctorId IN (SELECT id FROM doctor WHERE removedAt IS NULL) UNION ALL SELECT 'active people without placement', count(*) FROM (SELECT DISTINCT id FROM doctor WHERE removedAt IS NULL AND id NOT IN (SELECT doctorId FROM doctor_facility WHERE doctorId IS NOT NULL))",
     "register_profile_totals": f"SELECT sum(w) AS work_entries, sum(e) AS education_entries, count(*) FILTER (WHERE w > 0) AS with_work, count(*) FILTER (WHERE e > 0) AS with_education FROM (SELECT len({_ENTRIES.format('experience')}) AS w, len({_ENTRIES.format('education')}) AS e FROM (SELECT DISTINCT id, experience, education FROM doctor))",

@@ -178,7 +178,7 @@ def _options(column: str, shown: str, selected: list[str], search: str) -> str:
     return _PEOPLE + f", o AS (SELECT label, {shown.format(c='label')} AS shown, cnt, label IN {picked} AS pinned FROM ({all_})), r AS (SELECT *, {rank} AS rank FROM o WHERE contains({text}, '{search}')), k AS (SELECT *, row_number() OVER (PARTITION BY pinned ORDER BY rank, cnt DESC, shown COLLATE NOCASE, label) AS n FROM r) SELECT label, shown, cnt, pinned, row_number() OVER (ORDER BY pinned DESC, rank, cnt DESC, shown COLLATE NOCASE, label) AS place FROM k WHERE pinned OR n <= 8"
 
 
-_SCALARS = _PEOPLE + ", s AS (SELECT 'category' AS facet, category AS label FROM p UNION ALL SELECT 'specialty', specialty FROM p UNION ALL SELECT 'nationality', nationality FROM p UNION ALL SELECT 'licence', unnest(string_split(nullif(licence_types, ''), '|')) FROM p), c AS (SELECT facet, label, count(*) AS cnt FROM s WHERE label IS NOT NULL GROUP BY 1, 2)"
+_SCALARS = _PEOPLE + ", s AS (SELECT 'category' AS facet, category AS label FROM p UNION ALL SELECT 'specialty', specialty FROM p UNION ALL SELECT 'nationality', nationality FROM p UNION ALL SELECT 'language', unnest(languages) FROM p UNION ALL SELECT 'licence', unnest(string_split(nullif(licence_types, ''), '|')) FROM p), c AS (SELECT facet, label, count(*) AS cnt FROM s WHERE label IS NOT NULL GROUP BY 1, 2)"
 _TEL = "'tel:' || regexp_replace({c}, '[^0-9+]', '', 'g')"
 _BLANK = "nullif(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '')"
 _X = "CASE WHEN json_valid(extraFields) THEN nullif(trim(json_extract_string(extraFields, '$.{k}')), '') END"

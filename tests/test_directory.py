@@ -113,7 +113,14 @@ def test_profile_texts(spark):
     assert (work[0].title, work[0].facility, work[0].licence_number, work[0].start, work[0].end, work[0].duration) == ("Specialist Orthodontics", "ABC CLINIC", "00009446-002", "05 December 2023", "Present", "8 Months")
     assert (work[1].title, work[1].facility, work[1].place) == ("Nurse", None, "Dubai") and (work[2].facility, work[2].place) == ("B", "D") and len(work) == 3
     edu = one(R.education(F.lit("MBBS · University of Khartoum · Graduated 2010 · Sudan, Khartoum (Verified by DataFlow)")))[0]
-    assert (edu.qualification, edu.institution, edu.graduated, edu.country, edu.city, edu.verification) == ("MBBS", "University of Khartoum", "2010", "Sudan", "Khartoum", "Verified by DataFlow")
+    assert (edu.qualification, edu.institution, edu.graduated, edu.country, edu.location, edu.verification) == ("MBBS", "University of Khartoum", "2010", "Sudan", "Khartoum", "Verified by DataFlow")
+    more = one(R.education(F.lit("Pre-University · Kochi | Nursing · - | Royal College of Surgeons | Kochi | BSc · X College · extra · India | BSc · X College · extra · India")))
+    assert [(x.qualification, x.institution, x.heading, x.country, x.location, x.extra) for x in more] == [
+        ("Pre-University", None, None, None, "Kochi", []), (None, None, "Nursing", None, "-", []), (None, "Royal College of Surgeons", None, None, None, []), (None, None, None, None, "Kochi", []),
+        *[("BSc", "X College", None, None, "India", ["extra"])] * 2,
+    ]
+    assert [x.is_current for x in one(R.experience(F.lit("Nurse · A · B (Present) | Nurse · 05 May 2020 - Present")))] == [True, False]
+    assert one(R.education(F.lit(None).cast("string"))) == [] and one(R.experience(F.lit(" | "))) == []
     hours = {"Tuesday": {"isClosed": "true"}, "Sunday": {"is24Hours": "true"}, "Monday": {"timeIntervals": [{"StartDropDown": "9", "EndDropDown": "13"}, {"StartDropDown": "16", "EndDropDown": "24"}]}, "Wednesday": {"timeIntervals": []}}
     assert [tuple(x) for x in one(R.opening_hours(F.lit(json.dumps(hours))))] == [("Sunday", "24 hours"), ("Monday", "9 AM – 1 PM, 4 PM – 12 AM"), ("Tuesday", "Closed")]
     assert one(R.opening_hours(F.lit("{bad"))) is None
@@ -170,6 +177,9 @@ def test_positions_and_slugs(spark):
     assert got == list(range(1, 51))
     slugs = [r.slug for r in R.unique_slugs(df, "n", ["id"]).orderBy("id").limit(3).collect()]
     assert slugs == ["a-b", "a-b-2", "a-b-3"] and len(set(itertools.chain(slugs))) == 3
+    mixed = spark.createDataFrame(list(enumerate(["x", "x-2", "x", "x", "x-3", "x-2", "x-4", "x-2-2", "", None])), "id int, n string")
+    made = {r.id: r.slug for r in R.unique_slugs(mixed, "n", ["id"]).collect()}
+    assert (made[0], made[1], made[2], made[3], made[4], made[5], made[6], made[7]) == ("x", "x-2", "x-5", "x-6", "x-3", "x-2-3", "x-4", "x-2-2")
 
 
 def test_pictures(spark):
