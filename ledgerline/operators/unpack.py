@@ -67,6 +67,14 @@ def _spread(begin: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def _unescaped(text: str) -> str:
+    """The inside of a JSON string as text; where its escapes are broken only quotes lose theirs."""
+    try:
+        return json.loads(f'"{text}"')
+    except ValueError:
+        return text.replace('\\"', '"')
+
+
 def split_array(texts: pa.Array, how: Packing) -> pa.ListArray:
     """A list array with the items of each text; a NULL or blank text has an empty list.
 
@@ -159,8 +167,10 @@ def split_array(texts: pa.Array, how: Packing) -> pa.ListArray:
         left = np.searchsorted(solid, q) - 1
         right = np.searchsorted(solid, q, side="right")
         left_at, right_at = solid[np.maximum(left, 0)], solid[np.minimum(right, len(solid) - 1)]
-        opens = (left < 0) | (row[left_at] != row[q]) | mark[left_at]
-        closes = (right >= len(solid)) | (row[right_at] != row[q]) | mark[right_at]
+        # A line break or tab is a blank that separates.
+        parting = np.concatenate(([0], np.cumsum(mark)))
+        opens = (left < 0) | (row[left_at] != row[q]) | (parting[q] > parting[left_at])
+        closes = (right >= len(solid)) | (row[right_at] != row[q]) | (parting[right_at + 1] > parting[q + 1])
         opens &= ~((left >= 0) & (left_at == q))
         if len(q) > 1 and len(ends):
             pair = opens[:-1] & closes[1:] & (row[q[:-1]] == row[q[1:]])
@@ -204,13 +214,9 @@ def split_array(texts: pa.Array, how: Packing) -> pa.ListArray:
         items = pc.if_else(doubled, pc.replace_substring(items, '""', '"'), items)
     if slash.any():
         has = np.concatenate(([0], np.cumsum(slash)))
-        for i in np.flatnonzero(enclosed & as_list[begins] & (has[finals] - has[begins] > 0)):
-            text = items[i].as_py()
-            try:
-                text = json.loads(f'"{text}"')
-            except ValueError:
-                text = text.replace('\\"', '"')
-            items = pa.concat_arrays([items[:i], pa.array([text], pa.string()), items[i + 1 :]])
+        with_slash = enclosed & as_list[begins] & (has[finals] - has[begins] > 0)
+        if with_slash.any():
+            items = pc.replace_with_mask(items, pa.array(with_slash), pa.array([_unescaped(x) for x in items.filter(pa.array(with_slash)).to_pylist()], pa.string()))
     per_row = np.bincount(owner, minlength=rows)
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per_row))).astype(np.int32)), items)
 

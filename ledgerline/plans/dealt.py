@@ -66,8 +66,28 @@ def _p3_sql(fields: list[str], values: bool) -> str:
     return _P3_SIDES.format(columns=columns) + "\nUNION ALL ".join(parts)
 
 
+# A quoted text or a run without separators; quotes count only as pairs, and a JSON list is read as one.
+_P5_BLANK = "'  ' || chr(9) || chr(10) || chr(13)"
+
+
+def _p5_field(field: str, text: str, separators: str, single: bool) -> str:
+    """Items of a field: matches of quoted stretches and letters that part nothing."""
+    x = f"trim(x, {_P5_BLANK})"
+    one = f"WHEN regexp_full_match({x}, '''[^'']*''') THEN {x}[2:-2]" if single else ""
+    plain = f"""CASE WHEN regexp_full_match({x}, '"([^"]|"")*"') THEN replace({x}[2:-2], '""', '"') {one} ELSE x END"""
+    listed = f"""CASE WHEN regexp_matches({field}, '^\\s*\\[\\s*"') AND json_valid({field}) THEN CAST(CAST({field} AS JSON) AS VARCHAR[]) END"""
+    quoted = """"(?:[^"]|"")*\"""" + ("|''[^'']*''" if single else "")
+    pieces = f"""regexp_extract_all({text}, '((?:{quoted}|[^"{separators}])+)')"""
+    return f"""SELECT id AS doctor_id, '{field}' AS field, CAST(pos AS INTEGER) AS pos, item FROM (SELECT id, unnest(items) AS item, unnest(range(1, len(items) + 1)) AS pos FROM (
+ SELECT id, list_filter(list_transform(coalesce({listed}, list_transform({pieces}, lambda x: {plain})), lambda x: trim(x, {_P5_BLANK})), lambda x: x <> '') AS items FROM (SELECT DISTINCT id, languages, specialities FROM doctor)))"""
+
+
+_P5_AND = "regexp_replace({c}, '(?i)([  \"])(and|[-–—])([  \"])', '\\1,\\3', 'g')"
+_P5 = _p5_field("languages", _P5_AND.format(c=_P5_AND.format(c="languages")), ",;|/+&\t\n\r،؛、，；", True) + "\nUNION ALL\n" + _p5_field("specialities", "replace(specialities, '//', '|')", "|;\t\n\r", False)
+
 QUERIES = {"p3_found": p3_found, "p3_values": p3_values, "p3_summary": p3_summary, "p5_found": p5_found}
 SQL = {
+    "p5_found": _P5,
     "p3_found": _p3_sql(PLACEMENT_FIELDS, False),
     "p3_values": _p3_sql(PLACEMENT_FIELDS, True),
     "p3_summary": f"SELECT finding, count(*) AS rows FROM ({_p3_sql(PLACEMENT_FIELDS, False)}) GROUP BY finding",

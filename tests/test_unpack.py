@@ -85,3 +85,19 @@ def test_frame(spark):
     out = unpacked(df, ["id"], {"l": LANGUAGES, "s": SPECIALITIES})
     assert sorted(map(tuple, out.collect())) == sorted([("1", "l", 1, "a"), ("1", "l", 2, "b")] * 2 + [("2", "s", 1, "c"), ("2", "s", 2, "d")])
     assert unpacked(df.limit(0), ["id"], {"l": LANGUAGES}).count() == 0
+
+
+def test_single_quotes_beside_line_breaks_and_tabs():
+    cases = {
+        "French / Arabic\n'Punjabi, Western';Farsi (Persian)": ["French", "Arabic", "Punjabi, Western", "Farsi (Persian)"],
+        "English\n'Portuguese; Brazil'": ["English", "Portuguese; Brazil"],
+        "A\t'Sign Language | Local' ;": ["A", "Sign Language | Local"],
+        "'X, Y'\r\nB": ["X, Y", "B"],
+        "O'Neill, D'Arcy": ["O'Neill", "D'Arcy"],
+    }
+    assert split_array(pa.array(list(cases)), LANGUAGES).to_pylist() == list(cases.values())
+
+
+def test_escapes_of_many_list_items():
+    texts = ['["a\\"b", "c\\u0041", "d\\\\"]'] * 3
+    assert split_array(pa.array(texts), LANGUAGES).to_pylist() == [['a"b', "cA", "d\\"]] * 3
