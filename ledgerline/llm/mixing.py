@@ -93,3 +93,15 @@ def share_report(draws: DataFrame, sizes: DataFrame, targets: DataFrame) -> Data
     zero = F.lit(0).cast("long")
     out = shares_available(sizes.where("tokens > 0"), targets).join(per, "source", "left").withColumn("all", F.sum("drawn_tokens").over(Window.partitionBy(F.lit(0))))  # a row for each listed source
     return out.select("source", F.col("weight").alias("target_share"), F.coalesce(F.col("drawn_tokens") / F.col("all"), F.lit(0.0)).alias("actual_share"), "available", F.coalesce("documents", zero).alias("documents"), F.coalesce("drawn_tokens", zero).alias("drawn_tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats")
+
+
+def draw_checks(draws: DataFrame, sizes: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """One row, all 0 for a right draw: documents above their limit, of sources without a target, drawn in two rows, and sources with documents and a weight of which none is drawn."""
+    t = targets.select("source", "weight", "max_repeats").where("source IS NOT NULL").dropDuplicates(["source"])
+    met = draws.join(t, "source", "left")
+    one = met.agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("over_limit"), F.count_if(F.col("max_repeats").isNull()).alias("of_unlisted_sources"))
+    twice = draws.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("drawn_twice"))
+    due = shares_available(sizes.where("tokens > 0"), t).where("available > 0 AND weight > 0 AND max_repeats > 0")
+    missing = due.join(draws.select("source").distinct(), "source", "left_anti").agg(F.count(F.lit(1)).alias("sources_missing"))
+    single = lambda df: df.withColumn("_", F.lit(0))
+    return single(one).join(single(twice), "_").join(single(missing), "_").drop("_")  # three single rows

@@ -168,3 +168,15 @@ def mixture_report(places: DataFrame) -> DataFrame:
     joined = one.join(full, ["purpose", "container"]).join(share.withColumnRenamed("source", "s"), (F.col("s").eqNullSafe(F.col("source"))) & (one["purpose"] == share["purpose"])).select(one["purpose"], "source", "share", "n", F.abs(F.col("t") / F.col("size") - F.col("share")).alias("off"))
     # A container without the source is off by the whole share.
     return joined.groupBy("purpose", "source", "share", "n").agg(F.sum("off").alias("off"), F.count(F.lit(1)).alias("with")).select("purpose", "source", "share", ((F.col("off") + (F.col("n") - F.col("with")) * F.col("share")) / F.col("n")).alias("mean_distance"))
+
+
+def place_checks(places: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """For each purpose: documents placed, containers over their capacity or with gaps, documents whose pieces are not their tokens, and documents cut without need; all but the first must be 0."""
+    held = places.groupBy("purpose", "capacity", "container").agg(F.sum("tokens").alias("t"), F.max(F.col("offset") + F.col("tokens")).alias("end"), F.min("offset").alias("start"))
+    boxes = held.groupBy("purpose", "capacity").agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"), F.count_if((F.col("t") != F.col("end")) | (F.col("start") != 0)).alias("gaps"))
+    whole = places.groupBy("purpose", "capacity", F.col(key).alias("key")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    met = whole.join(sizes.select(F.col(key).alias("key"), F.col("tokens").alias("size")), "key", "left")
+    documents = met.groupBy("purpose", "capacity").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(~F.col("t").eqNullSafe(F.col("size"))).alias("wrong_pieces"), F.count_if(F.col("n") > F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity")))).alias("cut_without_need")
+    )
+    return documents.join(boxes, ["purpose", "capacity"]).select("purpose", "capacity", "documents", "overfull", "gaps", "wrong_pieces", "cut_without_need")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import history, langid, mixing, names, neardup, packing, tokens
+from ledgerline.llm.sql import SQL
 from ledgerline.sources.lineage import written
 from ledgerline.sources.tables import once, table
 
@@ -74,6 +75,12 @@ def p6_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return packing.mixture_report(written(p6_packed(spark, folder), "places"))
 
 
+def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = _sizes(spark, folder)
+    places = packing.packed(sizes, table(spark, folder, "pack_limit"), "doc_id", "source")
+    return packing.place_checks(written(places, "places"), sizes, "doc_id")
+
+
 def p6_target_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """As p6_mixture, for containers filled towards the shares of mix_target as long as its sources have documents."""
     targets = table(spark, folder, "mix_target").select("source", "weight")
@@ -89,5 +96,11 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.share_report(written(mixing.drawn(sizes, targets, "doc_id"), "draws"), sizes, targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p4_found, p6_packed, p6_fill, p6_mixture, p6_target_mixture, p7_drawn, p7_shares, p8_found, p8_labels)}
-SQL: dict[str, str] = {}
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    sizes, targets = _sizes(spark, folder), table(spark, folder, "mix_target")
+    return mixing.draw_checks(written(mixing.drawn(sizes, targets, "doc_id"), "draws"), sizes, targets, "doc_id")
+
+
+__all__ = ["QUERIES", "SQL"]
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p4_found, p6_packed, p6_fill, p6_mixture, p6_checks, p6_target_mixture, p7_drawn, p7_shares, p7_checks, p8_found, p8_labels)}
