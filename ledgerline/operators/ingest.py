@@ -101,24 +101,39 @@ def decide(items: DataFrame, stored: DataFrame) -> DataFrame:
     return alone.union(together.union(b).groupBy("component").applyInPandas(play, DECISION))
 
 
+def fresh(items: DataFrame, decisions: DataFrame) -> DataFrame:
+    """[K14] The new items of a batch as they are stored: what an item holds, its payload as far as given, and its story."""
+    payload = [c.split()[0] for c in PAYLOAD.split(", ") if c.split()[0] in items.columns]
+    return items.join(decisions.where("decision = 'new'").select("id", "story_id"), "id").select(*[c.split()[0] for c in ITEM.split(", ")], *payload, "story_id")
+
+
+def changes(items: DataFrame, decisions: DataFrame) -> DataFrame:
+    """[T2] What the repeats of a batch change: id of the stored row, seq and by (the repeat), content_hash and the replaced columns that items have."""
+    here = [c for c in REPLACED if c in items.columns]
+    return decisions.where("new_content_hash IS NOT NULL").join(items.select("id", "seq", *here), "id").select(F.col("duplicate_of").alias("id"), "seq", F.col("id").alias("by"), F.col("new_content_hash").alias("content_hash"), *here)
+
+
+def applied(stored: DataFrame, change: DataFrame) -> DataFrame:
+    """[T2] Stored rows with changes(): the hash, excerpt and content of the last change, and the last picture there is. Title, summary key and the rest stay."""
+    here = [c for c in REPLACED if c in change.columns and c in stored.columns]
+    when = F.struct("seq", "by")
+    last = [F.max_by(F.struct(F.col("content_hash").alias("h"), *[c for c in here if c != "image"]), when).alias("new")]
+    last += [F.max_by("image", F.when(F.col("image").isNotNull(), when)).alias("new_image")] if "image" in here else []
+    every = stored.join(change.groupBy("id").agg(*last), "id", "left")
+    value = {"content_hash": F.coalesce("new.h", "content_hash")} | {c: F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)) for c in here if c != "image"}
+    value |= {"image": F.coalesce("new_image", "image")} if "image" in here else {}
+    return every.select(*[value.get(c, F.col(c)).alias(c) for c in stored.columns])
+
+
 def merged(stored: DataFrame, items: DataFrame, decisions: DataFrame) -> DataFrame:
-    """[K14, T2] The store after a batch: new items appended with their payload; where a repeat changed the content hash, the hash, excerpt, content and,
-    if it has one, the picture are replaced (of several changes the last counts; of pictures the last there is). Title, summary key and the rest stay.
+    """[K14, T2] The store after a batch: stored rows and new items, with what repeats changed.
 
     The payload columns that items or stored have are carried; one that only one side has is NULL on the other.
     """
     payload = [c.split()[0] for c in PAYLOAD.split(", ") if c.split()[0] in {*items.columns, *stored.columns}]
     names = [c.split()[0] for c in ITEM.split(", ")]
-    here = [c for c in REPLACED if c in items.columns]
-    change = decisions.where("new_content_hash IS NOT NULL").join(items.select("id", "seq", *here), "id")
-    last = [F.max_by(F.struct(F.col("new_content_hash").alias("h"), *[c for c in here if c != "image"]), F.struct("seq", "id")).alias("new")]
-    last += [F.max_by("image", F.when(F.col("image").isNotNull(), F.struct("seq", "id"))).alias("new_image")] if "image" in here else []
-    changed = change.groupBy(F.col("duplicate_of").alias("id")).agg(*last)
-    fresh = items.join(decisions.where("decision = 'new'").select("id", "story_id"), "id").select(*names, *[c for c in payload if c in items.columns], "story_id")
-    every = stored.select(*names, *[c for c in payload if c in stored.columns], "story_id").unionByName(fresh, allowMissingColumns=True).join(changed, "id", "left")
-    value = {"content_hash": F.coalesce("new.h", "content_hash")} | {c: F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)) for c in here if c != "image"}
-    value |= {"image": F.coalesce("new_image", "image")} if "image" in here else {}
-    return every.select(*[value.get(c, F.col(c)).alias(c) for c in (*names, *payload, "story_id")])
+    every = stored.select(*names, *[c for c in payload if c in stored.columns], "story_id").unionByName(fresh(items, decisions), allowMissingColumns=True)
+    return applied(every.select(*names, *payload, "story_id"), changes(items, decisions))
 
 
 def run_summary(decisions: DataFrame, items: DataFrame) -> DataFrame:

@@ -90,10 +90,16 @@ def test_view_gate_batch_and_stream(spark, tmp_path):
     df = spark.createDataFrame(rows, "slug string, client string, at timestamp")
     got = {r.slug: r.views for r in feed.view_counts(df, "slug", "client", "at").collect()}
     assert got == {"p": 3, "q": 1}
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = views.counted_views(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "slug", "client", "at").writeStream.format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    # A view that lies beyond all others makes the earlier ones certain; a late one within the hour is judged in its order.
+    end = spark.createDataFrame([("z", "z", T0 + dt.timedelta(days=30))], df.schema)
+    (tmp_path / "in").mkdir()
+    late = spark.createDataFrame([("l", "c", T0 + dt.timedelta(hours=20, minutes=30))], df.schema)
+    for n, part in enumerate((df.union(late), spark.createDataFrame([("l", "c", T0 + dt.timedelta(hours=20)), ("l", "c", T0 + dt.timedelta(hours=32, minutes=15))], df.schema), end)):
+        part.toPandas().to_parquet(tmp_path / "in" / f"{n}.parquet", coerce_timestamps="us")
+    got |= {"l": 2}
+    q = views.counted_views(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in")), "slug", "client", "at").writeStream.format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert {r.slug: r.n for r in spark.sql("SELECT slug, count(*) AS n FROM counted GROUP BY slug").collect()} == got
+    assert {r.slug: r.n for r in spark.sql("SELECT slug, count(*) AS n FROM counted WHERE slug <> 'z' GROUP BY slug").collect()} == got
 
 
 def test_entities_archive_and_due(spark):
