@@ -109,6 +109,21 @@ def _term(t: str) -> str:
     return f"(contains(name_folded, '{t}') OR contains(specialty_folded, '{t}') OR contains(category_folded, '{t}') OR EXISTS (SELECT 1 FROM (SELECT unnest(p.linked) AS u) WHERE contains({_FOLD.format('u')}, '{t}')))"
 
 
+# A person's facility for sorting: the earliest placement, present ones first.
+_FIRST = """, fst AS (SELECT doctorId AS doctor_id, facilityId AS facility_id, coalesce(min(createdAt) FILTER (WHERE isCurrent = 1 OR relationType IN ('current_license', 'search_stage')), min(createdAt)) AS first_at FROM doctor_facility GROUP BY 1, 2),
+ff AS (SELECT l.doctor_id AS id, arg_min(facility, (first_at, facility_id)) AS first_facility FROM l JOIN fx USING (facility_id) JOIN fst USING (doctor_id, facility_id) WHERE is_current GROUP BY 1) """
+
+
+def _suggested(kind: str, place: int, source: str, value: str, folded: str, n: int, q: str) -> str:
+    late = f"CASE WHEN starts_with(f, '{q}') THEN 0 ELSE 1 END"
+    return f"SELECT * FROM (SELECT '{kind}' AS kind, {place} AS place, {late} AS late, f, value FROM (SELECT DISTINCT {value} AS value, {folded} AS f FROM {source}) WHERE contains(f, '{q}') ORDER BY late, f, value LIMIT {n})"
+
+
+_SUGGESTED = " UNION ALL ".join(
+    _suggested(*x, "ra")
+    for x in (("facility", 1, "facility", "nameTrimmed", _FOLD.format("nameTrimmed"), 4), ("specialty", 2, "p", "specialty", "specialty_folded", 3), ("category", 3, "p", "category", "category_folded", 1), ("professional", 4, "p", "name", "name_folded", 4))
+)
+
 QUERIES = {
     f"directory_{f.__name__}": f
     for f in (rows, facets_all, facets_self_excluding, toggles, filtered, searched, searched_by_id, first_page_by_relevance, first_page_by_specialty, first_page_by_facility, facilities_matching, suggested, facility_roles, facility_people)
@@ -123,6 +138,8 @@ SQL = {
     "directory_searched_by_id": _PEOPLE + f"SELECT id FROM p WHERE contains(id, '0007') OR {_term('0007')}",
     "directory_first_page_by_relevance": _PEOPLE + f"SELECT id, name FROM p WHERE {_term('robert')} ORDER BY CASE WHEN starts_with(name_folded, 'robert') THEN 0 WHEN contains(name_folded, 'robert') THEN 1 ELSE 2 END, name_folded, name NULLS LAST, id LIMIT 24",
     "directory_first_page_by_specialty": _PEOPLE + "SELECT id, specialty FROM p ORDER BY nullif(specialty_folded, '') NULLS LAST, name_folded, name NULLS LAST, id LIMIT 48",
+    "directory_first_page_by_facility": _PEOPLE + _FIRST + f"SELECT p.id, first_facility FROM p LEFT JOIN ff USING (id) ORDER BY {_FOLD.format('first_facility')} NULLS LAST, name_folded, name NULLS LAST, p.id LIMIT 24",
+    "directory_suggested": _PEOPLE + f"SELECT kind, value, rank FROM (SELECT kind, value, CAST(row_number() OVER (ORDER BY place, late, f, value) AS INTEGER) AS rank FROM ({_SUGGESTED})) WHERE rank <= 8",
     "directory_facilities_matching": _PEOPLE + ", e AS (SELECT u AS facility, count(*) AS doctor_count, nullif(count(*) FILTER (WHERE nationality = 'India'), 0) AS matching FROM (SELECT unnest(linked) AS u, nationality FROM p) GROUP BY 1) SELECT fx.facility, fx.type, coalesce(doctor_count, 0) AS doctor_count, matching FROM fx LEFT JOIN e ON e.facility = fx.facility",
     "directory_facility_roles": _PEOPLE + "SELECT facility_id, role, count(*) AS people FROM (SELECT facility_id, unnest(CASE WHEN roles <> '' THEN string_split(roles, '||') WHEN sp.specialty IS NOT NULL THEN [sp.specialty] ELSE [] END) AS role FROM l JOIN sp ON sp.id = l.doctor_id WHERE is_licensed) GROUP BY 1, 2",
     "directory_facility_people": _PEOPLE + "SELECT doctor_id AS id, CASE WHEN roles <> '' THEN roles ELSE coalesce(sp.specialty, '') END AS roles FROM l JOIN sp ON sp.id = l.doctor_id WHERE is_licensed AND facility_id = 'F-000001'",

@@ -9,7 +9,7 @@ from ledgerline.functions.text import squeezed
 from ledgerline.operators import directory as D
 from ledgerline.operators import register as R
 from ledgerline.operators import views as V
-from ledgerline.plans.directory_queries import _C, _FOLD, _PEOPLE, facets_all, people
+from ledgerline.plans.directory_queries import _FIRST, _FOLD, _PEOPLE, facets_all, people
 from ledgerline.plans.register_queries import _COUNTS, _ENTRIES, _links
 from ledgerline.sources.tables import once, table
 
@@ -212,11 +212,6 @@ SQL = {
     "view_sections": f"WITH d AS (SELECT DISTINCT id, experience, education FROM doctor WHERE removedAt IS NULL), n AS (SELECT id, right(id, 1) IN ('0', '2', '4', '6', '8') AS loaded, len({_N.format('experience')}) AS w, len({_N.format('education')}) AS e, coalesce(trim(experience) <> '', false) AS hw, coalesce(trim(education) <> '', false) AS he FROM d) SELECT id, 'experience' AS section, CASE WHEN loaded AND w > 0 THEN w || ' entries' WHEN NOT loaded AND hw THEN 'available' ELSE 'absent' END AS state FROM n UNION ALL SELECT id, 'education', CASE WHEN loaded AND e > 0 THEN e || ' entries' WHEN NOT loaded AND he THEN 'available' ELSE 'absent' END FROM n",
     "view_profile_index": f"SELECT 'last 3 characters of the id, filled with 0' AS shard_rule, count(DISTINCT lpad(right(id, 3), 3, '0')) AS shards, count(*) AS profiles, sum(w) AS work_entries, sum(e) AS education_entries, count(*) FILTER (WHERE w > 0) AS with_work, count(*) FILTER (WHERE e > 0) AS with_education FROM (SELECT id, len({_N.format('experience')}) AS w, len({_N.format('education')}) AS e FROM (SELECT DISTINCT id, experience, education FROM doctor))",
     "view_export_statistics": _PEOPLE + "SELECT (SELECT count(*) FROM l WHERE is_current) AS pairs, (SELECT max(n) FROM (SELECT count(*) AS n FROM l WHERE is_current GROUP BY doctor_id)) AS most_facilities, (SELECT count(*) FROM (SELECT 1 FROM l WHERE is_current GROUP BY doctor_id HAVING count(*) > 1)) AS at_several, (SELECT count(*) FROM t WHERE contains(licence_types, '|')) AS several_licences, 0 AS repeated_ids",
-    "view_person_cards": _PEOPLE + f", ff AS (SELECT doctor_id AS id, arg_min(facility, (first_at, facility_id)) AS first FROM lf WHERE is_current GROUP BY 1) SELECT p.id, category, {_GLOSS.format(c='specialty')} AS specialty, nationality, ff.first || CASE WHEN len(linked) > 1 THEN ' +' || (len(linked) - 1) ELSE '' END AS facility, CASE WHEN len(languages) > 0 THEN array_to_string(languages[1:3], ' · ') || CASE WHEN len(languages) > 3 THEN ' +' || (len(languages) - 3) ELSE '' END END AS languages, CASE WHEN licence_types <> '' THEN 'verified' WHEN has_mobile OR has_email THEN 'contactable' END AS mark FROM p LEFT JOIN ff ON ff.id = p.id",
+    "view_person_cards": _PEOPLE + _FIRST + f"SELECT p.id, category, {_GLOSS.format(c='specialty')} AS specialty, nationality, ff.first_facility || CASE WHEN len(linked) > 1 THEN ' +' || (len(linked) - 1) ELSE '' END AS facility, CASE WHEN len(languages) > 0 THEN array_to_string(languages[1:3], ' · ') || CASE WHEN len(languages) > 3 THEN ' +' || (len(languages) - 3) ELSE '' END END AS languages, CASE WHEN licence_types <> '' THEN 'verified' WHEN has_mobile OR has_email THEN 'contactable' END AS mark FROM p LEFT JOIN ff ON ff.id = p.id",
     "view_labels": _PEOPLE + f"SELECT DISTINCT 'type' AS what, coalesce(typeGuess, '') AS value, {_TYPE.format(c='typeGuess')} AS shown, CAST(NULL AS VARCHAR) AS route FROM facility UNION ALL SELECT DISTINCT 'specialty', specialty, {_GLOSS.format(c='specialty')}, '/?smode=professionals&spec=' || url_encode(specialty) FROM p WHERE specialty IS NOT NULL",
 }
-# The earliest placement of a pair, present ones first, for the card's facility.
-SQL["view_person_cards"] = SQL["view_person_cards"].replace(
-    ", ff AS",
-    ", fst AS (SELECT doctorId AS doctor_id, facilityId AS facility_id, coalesce(min(createdAt) FILTER (WHERE isCurrent = 1 OR relationType IN ('current_license', 'search_stage')), min(createdAt)) AS first_at FROM doctor_facility GROUP BY 1, 2), lf AS (SELECT l.*, fx.facility, fst.first_at FROM l JOIN fx USING (facility_id) JOIN fst USING (doctor_id, facility_id)), ff AS",
-)
