@@ -104,6 +104,11 @@ def write_pages(df: DataFrame, path: str) -> None:
     df.repartition("page").write.mode("overwrite").partitionBy("page").json(path)
 
 
+def read_page(spark: SparkSession, path: str, page: int, form: str) -> DataFrame:
+    """[S11] The rows of one page, of which alone the files are read; none for a page that is not there. form: the rows' columns and types."""
+    return spark.read.schema(f"{form}, page int").json(path).where(F.col("page") == page).drop("page")
+
+
 def stale(existing: DataFrame, published: DataFrame, key: str) -> DataFrame:
     """[K7] What is there but no longer published."""
     return existing.join(published.select(key).distinct(), key, "left_anti")

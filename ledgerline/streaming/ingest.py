@@ -1,4 +1,4 @@
-"""Feed documents as a stream of files: each micro-batch is parsed, decided against the store and merged into it [T1-T3, S9]."""
+"""Feed documents as a stream of files: each micro-batch is parsed, decided against the store and merged into it [T1, T2, S9]."""
 
 from __future__ import annotations
 

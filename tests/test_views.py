@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators import directory as D
 from ledgerline.operators import joins, newsroom
 from ledgerline.operators import views as V
-from ledgerline.sources import lineage
+from ledgerline.sources import lineage, snapshots, tables
 
 T0 = dt.datetime(2024, 3, 1)
 
@@ -95,6 +95,19 @@ def test_newsroom_edges(spark):
     assert [(r.article_id, r.entity_id) for r in newsroom.ambiguous_mentions(seen, names).collect()] == [("n", "ambiguous:omar-khan-ali")]
 
 
+def test_pages_and_schemas(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"s{i}", i // 12 + 1) for i in range(30)], "id int, slug string, page int")
+    snapshots.write_pages(df, str(tmp_path / "pages"))
+    read = lambda n: sorted(r.id for r in snapshots.read_page(spark, str(tmp_path / "pages"), n, "id int, slug string").collect())
+    assert read(2) == list(range(12, 24)) and read(3) == list(range(24, 30)) and read(9) == []
+    gone = snapshots.stale(df.select("slug"), df.where("id < 28").select("slug"), "slug")
+    assert sorted(r.slug for r in gone.collect()) == ["s28", "s29"]
+    loose = tables.tolerant(df.select("id", "slug"), {"slug": "string", "id": "long", "new": "timestamp"})
+    assert dict(loose.dtypes) == {"slug": "string", "id": "bigint", "new": "timestamp"} and loose.where("new IS NOT NULL").count() == 0
+    wide = tables.widened(df, {"id": "long", "status": "string"})
+    assert wide.columns == ["id", "slug", "page", "status"] and dict(wide.dtypes)["id"] == "int"
+
+
 def test_broadcasting_beyond_the_bound_is_a_shuffle_with_the_same_rows(spark):
     few = lineage.written(spark.range(50).withColumn("x", F.col("id") * 2), "few")
     many = spark.range(200)
